@@ -16,6 +16,9 @@ WHITESPACE = "".join(
 # Fixed value: characters after which title case starts a new word, besides whitespace.
 TITLE_DELIMITERS = r"""[](){}/|\<>!?@"^#$&~_,.:;*%+-"""
 
+# A code point that is no character, so no text holds it.
+MARK = "\uffff"
+
 DATE_FORM = r"^\d{4}-\d{1,2}-\d{1,2}$"
 TIMESTAMP_FORM = (
     r"^\d{4}-\d{1,2}-\d{1,2}"
@@ -39,22 +42,25 @@ def upper_text(c: Column) -> Column:
 
 def safe_date(c: Column) -> Column:
     """A full ``yyyy-m-d`` date, else NULL. Spark alone would also take '2026-04' and date-times."""
-    t = text(c)
-    return F.when(t.rlike(DATE_FORM), t.try_cast("date"))
+    return _of_form(c, DATE_FORM).try_cast("date")
 
 
 def safe_timestamp(c: Column) -> Column:
     """A timestamp with a full date, else NULL. Spark alone would read '12:30:00' as today."""
-    t = text(c)
-    return F.when(t.rlike(TIMESTAMP_FORM), t.try_cast("timestamp"))
+    return _of_form(c, TIMESTAMP_FORM).try_cast("timestamp")
 
 
-def title_case(c: Column) -> Column:
-    """Upper-case the first letter after every delimiter, lower-case the rest."""
-    escaped = "".join("\\" + ch for ch in TITLE_DELIMITERS)
-    words = F.split(c, rf"(?<=[\s{escaped}])")
-    return F.array_join(F.transform(words, _capitalise), "")
+def _of_form(c: Column, form: str) -> Column:
+    """The trimmed text if it matches, else the empty string, which no cast accepts; trims only once."""
+    return F.regexp_extract(F.trim(c, F.lit(WHITESPACE)), form, 0)
 
 
-def _capitalise(word: Column) -> Column:
-    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
+def title_case(c: Column) -> Column:
+    """Upper-case the first letter after every delimiter, lower-case the rest.
+
+    Spark's ``initcap`` starts words at blanks only, so a marked blank follows each delimiter meanwhile. Plain
+    string functions keep the projection inside generated code, which an array transform would not.
+    """
+    escaped = "".join("\\" + ch for ch in TITLE_DELIMITERS)
+    marked = F.regexp_replace(c, rf"([\s{escaped}])", f"$1{MARK} ")
+    return F.replace(F.initcap(marked), F.lit(f"{MARK} "), F.lit(""))

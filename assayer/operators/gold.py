@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sales
@@ -142,25 +142,30 @@ def tagged_union(tables: Mapping[str, DataFrame], tag: str, *columns: str) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def event_monitor(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per domain: events, first and last ingestion, last staging.
+def literal_rows(spark: SparkSession, **columns: Iterable) -> DataFrame:
+    """A small relation from literal lists, made inside the JVM."""
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(columns, row)]) for row in zip(*columns.values())]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+
 
-    One aggregation over all domains; the fixed domain list keeps a domain without events as a zero row.
+def monitor_events(events: DataFrame, domains: Iterable[str]) -> DataFrame:
+    """One row per domain from events tagged with ``domain``: count, first and last ingestion, last staging.
+
+    One aggregation with map-side partial results over all domains; the fixed domain list keeps a domain
+    without events as a zero row.
     """
-    spark = next(iter(tables.values())).sparkSession
-    summary = (
-        tagged_union(tables, "domain", "ingested_at", "staged_at")
-        .groupBy("domain")
-        .agg(
-            F.count("*").alias("total_events"),
-            F.min("ingested_at").alias("first_ingested_at"),
-            F.max("ingested_at").alias("last_ingested_at"),
-            F.max("staged_at").alias("last_staged_at"),
-        )
+    summary = events.groupBy("domain").agg(
+        F.count("*").alias("total_events"),
+        F.min("ingested_at").alias("first_ingested_at"),
+        F.max("ingested_at").alias("last_ingested_at"),
+        F.max("staged_at").alias("last_staged_at"),
     )
+    names = list(domains)
     # At most one row per name in the literal list, so the broadcast side is bounded by the catalogue.
-    listed = spark.createDataFrame([(name,) for name in tables], "domain string")
-    return (
-        listed.join(F.broadcast(summary), "domain", "left")
-        .withColumn("total_events", F.coalesce("total_events", F.lit(0).cast("long")))
-    )
+    known = F.broadcast(summary.filter(F.col("domain").isin(names)))
+    return literal_rows(events.sparkSession, domain=names).join(known, "domain", "left").fillna(0, ["total_events"])
+
+
+def event_monitor(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The monitor over one silver table per domain."""
+    return monitor_events(tagged_union(tables, "domain", "ingested_at", "staged_at"), tables)

@@ -46,10 +46,9 @@ def dq_expression_true(df: DataFrame, expression: str) -> DataFrame:
     return df.filter(~F.expr(expression))
 
 
-def dq_timestamp_order(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows staged before they were ingested, over all given silver tables."""
-    rows = tagged_union(tables, "domain", "ingested_at", "staged_at")
-    return rows.filter(F.col("staged_at") < F.col("ingested_at"))
+def dq_timestamp_order(events: DataFrame) -> DataFrame:
+    """Rows staged before they were ingested."""
+    return events.filter(F.col("staged_at") < F.col("ingested_at"))
 
 
 def dq_travel_dates(bookings: DataFrame) -> DataFrame:

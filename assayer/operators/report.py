@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sales
-from .gold import OPPORTUNITY_COLUMNS, conversion
+from .gold import OPPORTUNITY_COLUMNS, conversion, literal_rows
 
 
 def load_opportunities(opportunities: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def conversion_left_join(opportunities: DataFrame, by: str) -> DataFrame:
 
 def _positions(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
     """A literal ordered list as a small relation."""
-    return df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"position int, {name} string")
+    return literal_rows(df.sparkSession, position=range(len(values)), **{name: values})
 
 
 def funnel_dense(summary: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,6 +81,16 @@ def event_payload(staged: DataFrame, domain: str) -> DataFrame:
     )
 
 
+def event_index(staged: DataFrame) -> DataFrame:
+    """Opaque silver rows without their payload: one per row hash (and per tag column, if the frame has one).
+
+    The hash covers ``ingested_at``, so all copies of a row agree in it and two maxima give the latest copy. A
+    hash aggregate does this without the sort that ranking needs.
+    """
+    keys = [c for c in staged.columns if c not in ("ingested_at", "staged_at")]
+    return staged.groupBy(*keys).agg(F.max("ingested_at").alias("ingested_at"), F.max("staged_at").alias("staged_at"))
+
+
 def latest(df: DataFrame, key: str, order_by: list[Column]) -> DataFrame:
     """The first row per key in the given order; all NULL keys form one group.
 
@@ -128,9 +136,10 @@ def silver(staged: DataFrame, domain: Domain) -> DataFrame:
     return event_payload(latest_event(staged, "row_hash"), domain.name)
 
 
-def max_ingested_at(target: DataFrame) -> datetime | None:
-    """The newest ``ingested_at`` of a table, as one row brought to the driver."""
-    return target.agg(F.max("ingested_at")).first()[0]
+def ingestion_bound(target: DataFrame) -> Column:
+    """The newest ``ingested_at`` of a table as a literal; one number comes to the driver."""
+    micros = target.agg(F.unix_micros(F.max("ingested_at"))).first()[0]
+    return F.lit(EPOCH_FLOOR).cast("timestamp") if micros is None else F.timestamp_micros(F.lit(micros))
 
 
 def incremental_filter(df: DataFrame, target: DataFrame | None) -> DataFrame:
@@ -139,22 +148,13 @@ def incremental_filter(df: DataFrame, target: DataFrame | None) -> DataFrame:
     The bound is a literal, so it reaches the parquet scan and skips row groups. The comparison is strict:
     equal and NULL times are skipped.
     """
-    if target is None:
-        return df
-    return df.filter(F.col("ingested_at") > F.coalesce(_bound(target), F.lit(EPOCH_FLOOR).cast("timestamp")))
+    return df if target is None else df.filter(F.col("ingested_at") > ingestion_bound(target))
 
 
 def skipped_rows(df: DataFrame, target: DataFrame) -> DataFrame:
     """How many rows the incremental filter takes and how many it leaves out as late."""
-    taken = F.col("ingested_at") > F.coalesce(_bound(target), F.lit(EPOCH_FLOOR).cast("timestamp"))
-    return df.agg(
-        F.count_if(taken).alias("accepted_rows"),
-        F.count_if(~F.coalesce(taken, F.lit(False))).alias("late_rows"),
-    )
-
-
-def _bound(target: DataFrame) -> Column:
-    return F.lit(max_ingested_at(target)).cast("timestamp")
+    taken = F.coalesce(F.col("ingested_at") > ingestion_bound(target), F.lit(False))
+    return df.agg(F.count_if(taken).alias("accepted_rows"), F.count_if(~taken).alias("late_rows"))
 
 
 def append_new_columns(target: DataFrame, batch: DataFrame) -> DataFrame:

@@ -454,7 +454,7 @@ def _build() -> dict[str, str]:
 
     # Streams: the state they end in
     q["stream_ingest"] = q["parse_json_events"]
-    q["stream_upsert_latest"] = "SELECT * FROM slv_crm"
+    q["stream_upsert_latest"] = "SELECT * FROM upserted"
     q["stream_late_rows"] = """SELECT count(*) FILTER (ingested_at > bound) AS accepted_rows,
         count(*) FILTER (NOT COALESCE(ingested_at > bound, FALSE)) AS late_rows
         FROM brz_crm, (SELECT max(ingested_at) AS bound FROM old_crm)"""

@@ -14,7 +14,6 @@ from ..functions import sales
 from ..functions.hashing import surrogate_key
 from ..operators import charts, gold, quality, report, volumes
 from ..operators import silver as sv
-from ..operators.staging import stage_events
 from ..session import apply_semantics, scratch_dir
 from ..sources import files, messages
 from ..sources.tables import UpsertTable
@@ -79,7 +78,8 @@ def _on_conversion(by: str, build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _monitor(group: str) -> Query:
-    return lambda spark, sf: gold.event_monitor({n: b.silver_rows(spark, sf, n) for n in MONITORS[group]})
+    names = MONITORS[group]
+    return lambda spark, sf: gold.monitor_events(b.opaque_index(spark, sf, names), names)
 
 
 def _deals(keep: Callable[[DataFrame], DataFrame]) -> Query:
@@ -248,13 +248,13 @@ def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads into the same stream: the second run resumes at the checkpoint and upserts only the new rows."""
     landing, root, state = (scratch_dir(spark, f"upsert-{part}") for part in ("landing", "silver", "state"))
-    # Files in order of ingestion, one micro-batch each: later batches must hold the later versions.
-    rows = b.bronze(spark, sf, "crm")
-    rows.repartitionByRange(3, "ingested_at").write.parquet(landing)
-    stream = messages.message_stream(spark, "parquet", CRM.schema, path=landing)
     table = UpsertTable(spark, root, CRM.key)
-    upsert.stream_upsert_latest(stream, CRM, table, state, b.STAGED_AT).awaitTermination()
+    for load in _halves(b.bronze(spark, sf, "crm")):
+        load.write.mode("append").parquet(landing)
+        stream = messages.message_stream(spark, "parquet", CRM.schema, path=landing)
+        upsert.stream_upsert_latest(stream, CRM, table, state, b.STAGED_AT).awaitTermination()
     return table.read()
 
 
@@ -275,8 +275,10 @@ def _not_null(opportunities: DataFrame) -> DataFrame:
 
 
 def _timestamp_order(spark: SparkSession, sf: str) -> DataFrame:
-    early = {n: sv.silver(stage_events(b.bronze(spark, sf, n), b.SPLIT_AT), DOMAINS[n]) for n in OPAQUE}
-    return quality.dq_timestamp_order(early)
+    """All opaque domains, staged before the newest events came in."""
+    return quality.dq_timestamp_order(b.opaque_index(spark, sf, OPAQUE, b.SPLIT_AT)).select(
+        "domain", "ingested_at", "staged_at"
+    )
 
 
 def _won_lte_total(opportunities: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Python's strict JSON: no single quotes, no raw control characters.
+# Strict JSON: no single quotes, no raw control characters.
 STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
+END = "~end"
 
 
 def message_stream(spark: SparkSession, source: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -29,58 +30,65 @@ def decode(value: Column) -> Column:
     return F.try_validate_utf8(value.cast("string"))
 
 
-def _as_read(schema: T.StructType) -> T.StructType:
-    """Every field as text: a number sent as a JSON string must survive until it is cast."""
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+def _read(df: DataFrame, schema: T.StructType, required: Iterable[str], value: str) -> DataFrame:
+    """Add ``_raw``, the object's fields as text (NULL when the message is not one JSON object), and ``_keys``.
 
-
-def with_parse(df: DataFrame, schema: T.StructType, required: Iterable[str] = (), value: str = "value") -> DataFrame:
-    """Add ``parsed`` (struct of the schema) and ``reject_reason`` (NULL for a good message) to each message.
-
-    A good message is one JSON object that has every ``required`` key (a null value counts as present) and
-    whose numbers, booleans and times can be cast. Spark's JSON functions stop after the first complete
-    value, so the text is read once inside an object and once inside an array: text that closes both wrappers
-    correctly, with one element, holds nothing after its value.
+    Spark's parser stops after the first complete value and would overlook what follows it. So the message is
+    read as the first element of an array that we end with a marker object: only when the whole message is one
+    value does the array have two elements, the second one being the marker. Fields are read as text because a
+    number sent as a JSON string must survive until it is cast.
     """
     message = decode(F.col(value))
-    fields = _as_read(schema)
-    raw = F.from_json(F.concat(F.lit('{"m":'), message, F.lit("}")), T.StructType([T.StructField("m", fields)]), STRICT)
-    alone = F.json_array_length(F.concat(F.lit("["), message, F.lit("]"))) == 1
-    df = df.withColumn("_raw", F.when(alone, raw["m"]))
-
-    cast, bad = [], []
-    for f in schema:
-        source = F.col("_raw")[f.name]
-        typed = source if isinstance(f.dataType, T.StringType) else source.try_cast(f.dataType)
-        cast.append(typed.alias(f.name))
-        if not isinstance(f.dataType, T.StringType):
-            bad.append(F.when(source.isNotNull() & typed.isNull(), F.lit(f.name)))
-    keys = F.json_object_keys(message)
-    missing = [F.when(~F.array_contains(keys, k), F.lit(k)) for k in required]
-
-    reason = F.when(F.col("_raw").isNull(), F.lit("not a JSON object"))
-    if missing:
-        lacking = F.concat_ws(",", *missing)
-        reason = reason.when(lacking != "", F.concat(F.lit("missing: "), lacking))
-    if bad:
-        wrong = F.concat_ws(",", *bad)
-        reason = reason.when(wrong != "", F.concat(F.lit("bad value: "), wrong))
-    return df.withColumn("parsed", F.struct(*cast)).withColumn("reject_reason", reason).drop("_raw")
+    fields = [T.StructField(f.name, T.StringType(), True) for f in schema]
+    shape = T.ArrayType(T.StructType([*fields, T.StructField(END, T.StringType(), True)]))
+    framed = F.concat(F.lit("["), message, F.lit(f',{{"{END}":1}}]'))
+    df = df.withColumn("_items", F.from_json(framed, shape, STRICT))
+    if required:
+        df = df.withColumn("_keys", F.json_object_keys(message))
+    whole = (F.size("_items") == 2) & (F.get("_items", F.lit(1))[END] == "1")
+    return df.withColumn("_raw", F.when(whole, F.get("_items", F.lit(0)))).drop("_items")
+
+
+def _judge(schema: T.StructType, required: Iterable[str]) -> tuple[Column, Column]:
+    """The typed row of a read message, and why it is rejected (NULL for a good one)."""
+    raw = F.col("_raw")
+    typed = {f.name: raw[f.name].try_cast(f.dataType) for f in schema}
+    lost = [
+        F.when(raw[f.name].isNotNull() & typed[f.name].isNull(), F.lit(f.name))
+        for f in schema
+        if not isinstance(f.dataType, T.StringType)
+    ]
+    reason = F.when(raw.isNull(), F.lit("not a JSON object"))
+    missing = [F.when(~F.array_contains("_keys", k), F.lit(k)) for k in required]
+    for label, names in (("missing", missing), ("bad value", lost)):
+        if names:
+            listed = F.concat_ws(",", *names)
+            reason = reason.when(listed != "", F.concat(F.lit(f"{label}: "), listed))
+    return F.struct(*[c.alias(n) for n, c in typed.items()]), reason
 
 
 def parse_json_events(
     df: DataFrame, schema: T.StructType, required: Iterable[str] = (), value: str = "value"
 ) -> DataFrame:
-    """Typed rows of the good messages; all others are dropped (see ``rejected_messages``)."""
-    good = with_parse(df, schema, required, value).filter(F.col("reject_reason").isNull())
-    return good.select("parsed.*")
+    """Typed rows of the good messages; all others are dropped (see ``rejected_messages``).
+
+    A good message is one JSON object that has every ``required`` key (a null value counts as present) and
+    whose numbers, booleans and times can be cast. Each message gives an array of one row or none: a filter on
+    the parsed value would be pushed below the parse and repeat it.
+    """
+    required = tuple(required)
+    row, reason = _judge(schema, required)
+    return _read(df, schema, required, value).select(F.inline(F.when(reason.isNull(), F.array(row))))
 
 
 def rejected_messages(
     df: DataFrame, schema: T.StructType, required: Iterable[str] = (), value: str = "value"
 ) -> DataFrame:
     """The messages ``parse_json_events`` drops, with the reason."""
-    return with_parse(df, schema, required, value).filter(F.col("reject_reason").isNotNull()).drop("parsed")
+    required = tuple(required)
+    _, reason = _judge(schema, required)
+    verdict = F.struct(*[F.col(c) for c in df.columns], reason.alias("reject_reason"))
+    return _read(df, schema, required, value).select(F.inline(F.when(reason.isNotNull(), F.array(verdict))))
 
 
 def require_fields(df: DataFrame, required: Iterable[str], value: str = "value") -> DataFrame:
