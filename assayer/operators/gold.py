@@ -56,8 +56,8 @@ def dashboard_opportunities(
 ) -> DataFrame:
     """One row per opportunity with canonical names, ages and the stale flag.
 
-    The reference rule tests the *silver* stage, which is lower case, so its exemption of closed deals never
-    applies; that is the default here. ``exempt_closed`` tests the canonical stage instead.
+    The established rule tests the *silver* stage, which is lower case, so its exemption of closed deals never
+    applies; that is the default. ``exempt_closed`` tests the canonical stage instead.
     """
     canonical = sales.normalize_stage(F.col("stage"))
     return opportunity_ages(silver.filter(F.col("opportunity_id").isNotNull()), as_of).select(
