@@ -151,19 +151,25 @@ def literal_rows(spark: SparkSession, **columns: Iterable) -> DataFrame:
 def monitor_events(events: DataFrame, domains: Iterable[str]) -> DataFrame:
     """One row per domain from events tagged with ``domain``: count, first and last ingestion, last staging.
 
-    One aggregation with map-side partial results over all domains; the fixed domain list keeps a domain
-    without events as a zero row.
+    One aggregation with map-side partial results over all domains. Each listed domain adds one row that counts
+    nothing, so a domain without events still gives a row, and no join is needed.
     """
-    summary = events.groupBy("domain").agg(
-        F.count("*").alias("total_events"),
-        F.min("ingested_at").alias("first_ingested_at"),
-        F.max("ingested_at").alias("last_ingested_at"),
-        F.max("staged_at").alias("last_staged_at"),
-    )
     names = list(domains)
-    # At most one row per name in the literal list, so the broadcast side is bounded by the catalogue.
-    known = F.broadcast(summary.filter(F.col("domain").isin(names)))
-    return literal_rows(events.sparkSession, domain=names).join(known, "domain", "left").fillna(0, ["total_events"])
+    times = ("ingested_at", "staged_at")
+    counted = events.filter(F.col("domain").isin(names)).select("domain", *times, F.lit(1).alias("n"))
+    listed = literal_rows(events.sparkSession, domain=names).select(
+        "domain", *[F.lit(None).cast("timestamp").alias(t) for t in times], F.lit(0).alias("n")
+    )
+    return (
+        counted.unionByName(listed)
+        .groupBy("domain")
+        .agg(
+            F.sum("n").alias("total_events"),
+            F.min("ingested_at").alias("first_ingested_at"),
+            F.max("ingested_at").alias("last_ingested_at"),
+            F.max("staged_at").alias("last_staged_at"),
+        )
+    )
 
 
 def event_monitor(tables: Mapping[str, DataFrame]) -> DataFrame:

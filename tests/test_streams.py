@@ -1,0 +1,124 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.catalogue import CRM_REQUIRED, DOMAINS
+from assayer.plans import medallion
+from assayer.sources.files import conform
+from assayer.sources.messages import message_stream
+from assayer.sources.tables import UpsertTable
+from assayer.streaming import ingest, upsert
+
+CRM = DOMAINS["crm"]
+
+
+def message(i, **fields):
+    return json.dumps({k: f"{k}{i}" for k in CRM_REQUIRED} | {"value": i} | fields)
+
+
+def write_text(folder, name, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def test_ingest_resumes_and_never_repeats(spark, tmp_path):
+    inbox, out, state, rejects, state2 = (tmp_path / n for n in ("in", "out", "state", "rejects", "state2"))
+    write_text(inbox, "1.txt", [message(1), "[1]", message(2, ingested_at="1999-01-01"), "{bad"])
+    for load in range(3):
+        if load == 1:
+            write_text(inbox, "2.txt", [message(3), json.dumps({"opportunity_id": "x"}), message(4, value="abc")])
+        stream = message_stream(spark, "text", path=str(inbox))
+        ingest.stream_ingest(stream, CRM.schema, str(out), str(state), CRM_REQUIRED).awaitTermination()
+        ingest.stream_quarantine(stream, CRM.schema, str(rejects), str(state2), CRM_REQUIRED).awaitTermination()
+    rows = spark.read.schema(CRM.schema).parquet(str(out)).collect()
+    assert sorted((r.opportunity_id, r.value) for r in rows) == [
+        ("opportunity_id1", 1.0), ("opportunity_id2", 2.0), ("opportunity_id3", 3.0)]
+    assert all(r.ingested_at.year > 2000 for r in rows)
+    reasons = {r.reject_reason for r in spark.read.parquet(str(rejects)).collect()}
+    assert {"not a JSON object", "bad value: value"} < reasons and any(r.startswith("missing: stage") for r in reasons)
+
+
+def test_fanout_splits_by_topic_and_a_replayed_batch_replaces_itself(spark, tmp_path):
+    rows = [("crm", message(1)), ("crm", message(2)), ("crm", "{bad"), ("fraud", '{"event_id":"e","risk_score":0.5,"fraud_flag":true}'),
+            ("unknown", "{}")]
+    df = spark.createDataFrame(rows, "topic string, value string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = message_stream(spark, "parquet", df.schema, path=str(tmp_path / "in"))
+    root = str(tmp_path / "bronze")
+    ingest.fanout_bronze(stream, root, str(tmp_path / "state")).awaitTermination()
+    ingest.fanout_batch(df, 0, root, DOMAINS.values(), None)
+    assert ingest.read_fanout(spark, root, CRM).count() == 2
+    fraud = ingest.read_fanout(spark, root, DOMAINS["fraud"]).first()
+    assert (fraud.event_id, fraud.risk_score, fraud.fraud_flag) == ("e", 0.5, True) and fraud.ingested_at.microsecond == 0
+    assert ingest.read_fanout(spark, root, DOMAINS["seat"]).count() == 0
+
+
+def bronze(spark, rows):
+    ddl = "opportunity_id string, stage string, value double, updated_at string, ingested_at string"
+    return conform(spark.createDataFrame(rows, ddl), CRM.schema)
+
+
+def test_stream_upsert_over_two_loads_with_compaction(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    table = UpsertTable(spark, str(tmp_path / "silver"), CRM.key)
+    loads = [
+        [("A", "won", 1.0, "2024-01-09", "2024-01-01"), ("A", "lost", 1.0, "2024-01-01", "2024-01-01"), ("B", "x", 1.0, None, None)],
+        [("A", "late", 2.0, "2024-01-01", "2023-12-01"), ("C", "y", 1.0, None, None)],
+    ]
+    for rows in loads:
+        bronze(spark, rows).write.mode("append").parquet(inbox)
+        stream = message_stream(spark, "parquet", CRM.schema, path=inbox)
+        upsert.stream_upsert_latest(stream, CRM, table, str(tmp_path / "state"), "2024-02-01", 2).awaitTermination()
+    assert {(r.opportunity_id, r.stage) for r in table.read().collect()} == {("A", "late"), ("B", "x"), ("C", "y")}
+    assert table.pending() == 0
+
+
+def test_replays_are_dropped_on_streams_and_batches(spark, tmp_path):
+    rows = bronze(spark, [("A", "won", 1.0, None, "2024-01-01"), ("B", "x", 1.0, None, "2024-01-01")])
+    again = rows.withColumn("ingested_at", F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"))
+    both = rows.unionByName(again).unionByName(rows.limit(1).withColumn("stage", F.lit("lost")))
+    assert upsert.drop_replays(both).count() == 3
+    both.write.parquet(str(tmp_path / "in"))
+    stream = message_stream(spark, "parquet", CRM.schema, path=str(tmp_path / "in"))
+    upsert.stream_replay_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+@pytest.fixture
+def sources(spark):
+    """Bronze of all domains up to a day: one CRM row a day, everything else empty but fraud."""
+
+    def until(day):
+        crm = [("A", f"day{d}", float(d), f"2024-01-0{d}", f"2024-01-0{d}") for d in range(1, day + 1)]
+        fraud = spark.sql(f"SELECT CAST(id AS STRING) AS event_id, TIMESTAMP '2024-01-01' AS ingested_at FROM range({day})")
+        frames = {"crm": bronze(spark, crm), "fraud": conform(fraud, DOMAINS["fraud"].schema)}
+        return lambda name: frames.get(name, spark.createDataFrame([], DOMAINS[name].schema))
+
+    return until
+
+
+def test_medallion_is_incremental_and_repeatable(spark, tmp_path, sources):
+    root = str(tmp_path)
+
+    def run(run_id, day):
+        at = dt.datetime(2024, 1, day, 12)
+        return {r.table_name: r.row_count for r in
+                medallion.medallion_run(spark, sources(day), root, run_id, at, dt.date(2024, 1, day)).collect()}
+
+    def deal():
+        row = medallion.silver_table(spark, root, CRM).read().first()
+        return row.stage, row.staged_at.day
+
+    first = run(1, 2)
+    assert first["silver.crm"] == 1 and first["silver.fraud"] == 2 and first["gold.finance_event_monitor"] == 6
+    assert deal() == ("day2", 2)
+    assert run(2, 3) == first | {"silver.fraud": 2}  # fraud rows of equal time are skipped
+    assert deal() == ("day3", 3)
+    before = run(2, 3)
+    assert deal() == ("day3", 3) and before == run(2, 3)  # repeating a run loses nothing
+    monitor = spark.read.parquet(f"{root}/gold/risk_event_monitor").first()
+    assert (monitor.domain, monitor.total_events) == ("fraud", 2)
+    runs = medallion.history(spark, root).filter("metric = 'row_count' AND table_name = 'conversion_by_agent'")
+    assert runs.count() == 2
