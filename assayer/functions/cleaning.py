@@ -19,17 +19,24 @@ TITLE_DELIMITERS = r"""[](){}/|\<>!?@"^#$&~_,.:;*%+-"""
 # A code point that is no character, so no text holds it.
 MARK = "\uffff"
 
-DATE_FORM = r"^\d{4}-\d{1,2}-\d{1,2}$"
+DATE_FORM = r"\d{4}-\d{1,2}-\d{1,2}"
 TIMESTAMP_FORM = (
-    r"^\d{4}-\d{1,2}-\d{1,2}"
-    r"([ Tt]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?)?"
-    r"( ?([Zz]|UTC|[+-]\d{1,2}(:\d{1,2})?|[A-Za-z]+/[A-Za-z_/+-]+))?$"
+    r"\d{4}-\d{1,2}-\d{1,2}"
+    r"(?:[ Tt]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)?"
+    r"(?: ?(?:[Zz]|UTC|[+-]\d{1,2}(?::\d{1,2})?|[A-Za-z]+/[A-Za-z_/+-]+))?"
 )
 
 
 def text(c: Column) -> Column:
-    """Trimmed text; blank becomes NULL."""
-    return F.nullif(F.trim(c, F.lit(WHITESPACE)), F.lit(""))
+    """Trimmed text; blank becomes NULL.
+
+    Trimming a set of characters walks the whole value, trimming blanks alone looks at its ends only. So the
+    blanks go first, and the set is used just where the rest does not begin and end in printable ASCII.
+    """
+    short = F.trim(c)
+    last = F.substring(short, -1, 1)
+    done = (short >= "!") & (short < "\x7f") & last.between("!", "~")
+    return F.when(done, short).otherwise(F.nullif(F.trim(c, F.lit(WHITESPACE)), F.lit("")))
 
 
 def lower_text(c: Column) -> Column:
@@ -51,8 +58,8 @@ def safe_timestamp(c: Column) -> Column:
 
 
 def _of_form(c: Column, form: str) -> Column:
-    """The trimmed text if it matches, else the empty string, which no cast accepts; trims only once."""
-    return F.regexp_extract(F.trim(c, F.lit(WHITESPACE)), form, 0)
+    """The text between outer whitespace if it has the form, else the empty string, which no cast accepts."""
+    return F.regexp_extract(c, rf"\A[{WHITESPACE}]*({form})[{WHITESPACE}]*\z", 1)
 
 
 def title_case(c: Column) -> Column:

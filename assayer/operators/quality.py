@@ -46,13 +46,44 @@ def dq_expression_true(df: DataFrame, expression: str) -> DataFrame:
     return df.filter(~F.expr(expression))
 
 
+def staged_too_early() -> Column:
+    return F.col("staged_at") < F.col("ingested_at")
+
+
+def travel_dates_wrong() -> Column:
+    return F.col("travel_end_date") < F.col("travel_start_date")
+
+
+def email_malformed() -> Column:
+    return ~F.col("email").rlike(EMAIL_FORM)
+
+
+def won_above_total() -> Column:
+    return F.col("won_opportunities") > F.col("total_opportunities")
+
+
+def closed_above_total() -> Column:
+    return F.col("won_opportunities") + F.col("lost_opportunities") > F.col("total_opportunities")
+
+
+def not_json(payload: Column) -> Column:
+    # The parser stops after the first complete value; inside an array it must reach the closing bracket.
+    whole = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
+    return ~F.coalesce(whole, F.lit(False)) | F.try_parse_json(payload).isNull()
+
+
+def metadata_missing(payload: Column) -> Column:
+    times = [F.get_json_object(payload, f"$.{name}").isNull() for name in ("ingested_at", "staged_at")]
+    return not_json(payload) | times[0] | times[1]
+
+
 def dq_timestamp_order(events: DataFrame) -> DataFrame:
     """Rows staged before they were ingested."""
-    return events.filter(F.col("staged_at") < F.col("ingested_at"))
+    return events.filter(staged_too_early())
 
 
 def dq_travel_dates(bookings: DataFrame) -> DataFrame:
-    return bookings.filter(F.col("travel_end_date") < F.col("travel_start_date"))
+    return bookings.filter(travel_dates_wrong())
 
 
 def dq_won_lte_total(by_agent: DataFrame, by_product: DataFrame) -> DataFrame:
@@ -61,38 +92,26 @@ def dq_won_lte_total(by_agent: DataFrame, by_product: DataFrame) -> DataFrame:
     both = by_agent.select(F.col("agent").alias("entity"), *columns).unionByName(
         by_product.select(F.col("product").alias("entity"), *columns)
     )
-    return both.filter(F.col("won_opportunities") > F.col("total_opportunities"))
+    return both.filter(won_above_total())
 
 
 def dq_email_format(customers: DataFrame) -> DataFrame:
-    return customers.filter(~F.col("email").rlike(EMAIL_FORM))
+    return customers.filter(email_malformed())
 
 
 def dq_payload_json(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Payloads that are missing or not JSON, over all given opaque tables."""
-    rows = tagged_union(tables, "model_name", "event_payload")
-    return rows.filter(_not_json(F.col("event_payload")))
-
-
-def _not_json(payload: Column) -> Column:
-    # The parser stops after the first complete value; inside an array it must reach the closing bracket.
-    whole = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
-    return ~F.coalesce(whole, F.lit(False)) | F.try_parse_json(payload).isNull()
+    return tagged_union(tables, "model_name", "event_payload").filter(not_json(F.col("event_payload")))
 
 
 def dq_payload_metadata(events: DataFrame) -> DataFrame:
     """Rows whose payload is no JSON or lacks its ingestion or stage time."""
-    payload = F.col("event_payload")
-    return events.filter(
-        _not_json(payload)
-        | F.get_json_object(payload, "$.ingested_at").isNull()
-        | F.get_json_object(payload, "$.staged_at").isNull()
-    )
+    return events.filter(metadata_missing(F.col("event_payload")))
 
 
 def dq_rate_bounds(mart: DataFrame) -> DataFrame:
     """Groups whose won and lost deals exceed their deals."""
-    return mart.filter(F.col("won_opportunities") + F.col("lost_opportunities") > F.col("total_opportunities"))
+    return mart.filter(closed_above_total())
 
 
 def dq_conversion_invariants(mart: DataFrame, key: str) -> DataFrame:
@@ -212,14 +231,20 @@ def failure_count(failing: DataFrame, check: str, table: str, severity: str = "e
     )
 
 
-def column_report(metric_rows: DataFrame, check: str, table: str, severity: str = "error") -> DataFrame:
-    """Report rows from a per-column check such as ``dq_not_null``."""
-    return metric_rows.select(
-        F.concat(F.lit(f"{check}:"), "column_name").alias("check_name"),
-        F.lit(table).alias("table_name"),
-        F.lit(severity).alias("severity"),
-        "failures",
-    )
+def row_checks(df: DataFrame, table: str, checks: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """Report rows of many row rules in one pass: name → (condition of a failing row, severity)."""
+    names = list(checks)
+    sums = df.agg(*[F.count_if(checks[n][0]).alias(f"c{i}") for i, n in enumerate(names)])
+    lines = [
+        F.struct(
+            F.lit(n).alias("check_name"),
+            F.lit(table).alias("table_name"),
+            F.lit(checks[n][1]).alias("severity"),
+            F.col(f"c{i}").alias("failures"),
+        )
+        for i, n in enumerate(names)
+    ]
+    return sums.select(F.inline(F.array(*lines)))
 
 
 def dq_report(parts: Iterable[DataFrame]) -> DataFrame:

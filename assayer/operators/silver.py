@@ -82,13 +82,12 @@ def event_payload(staged: DataFrame, domain: str) -> DataFrame:
 
 
 def event_index(staged: DataFrame) -> DataFrame:
-    """Opaque silver rows without their payload: one per row hash (and per tag column, if the frame has one).
+    """Opaque silver rows without their payload: one per row hash.
 
     The hash covers ``ingested_at``, so all copies of a row agree in it and two maxima give the latest copy. A
     hash aggregate does this without the sort that ranking needs.
     """
-    keys = [c for c in staged.columns if c not in ("ingested_at", "staged_at")]
-    return staged.groupBy(*keys).agg(F.max("ingested_at").alias("ingested_at"), F.max("staged_at").alias("staged_at"))
+    return staged.groupBy("row_hash").agg(F.max("ingested_at").alias("ingested_at"), F.max("staged_at").alias("staged_at"))
 
 
 def latest(df: DataFrame, key: str, order_by: list[Column]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One batch run: silver, then gold, then quality metrics."""
+"""One batch run: silver, then gold, then checks and quality metrics."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..operators.staging import stage_events
 from ..operators.volumes import table_volumes
 from ..sources.files import overwrite_table
 from ..sources.tables import UpsertTable
+from .checks import full_report
 
 # Fixed value: models that run at the same time.
 PARALLEL_MODELS = 4
@@ -100,6 +101,13 @@ def run_metrics(spark: SparkSession, root: str, models: dict[str, DataFrame], ru
     run.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_metrics/run_id={run_id}")
 
 
+def run_checks(spark: SparkSession, root: str, models: dict[str, DataFrame], run_id: int) -> None:
+    """Store the outcome of every declared check on this run's tables."""
+    rows = {name: silver_table(spark, root, d).read() for name, d in DOMAINS.items()}
+    report = full_report(rows, models)
+    report.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_report/run_id={run_id}")
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/dq_metrics")
 
@@ -112,12 +120,13 @@ def medallion_run(
     staged_at: datetime | str,
     as_of: date | str,
 ) -> DataFrame:
-    """Silver, gold and metrics in that order; returns the rows per silver and gold relation.
+    """Silver, gold, checks and metrics in that order; returns the rows per silver and gold relation.
 
     ``run_id`` must grow from run to run. Repeating one is safe: it replaces its own silver batch.
     """
     run_silver(spark, bronze, root, run_id, staged_at)
     models = run_gold(spark, root, as_of)
+    run_checks(spark, root, models, run_id)
     run_metrics(spark, root, models, run_id, staged_at)
     tables = {f"silver.{n}": silver_table(spark, root, d).read() for n, d in DOMAINS.items()}
     tables |= {f"gold.{n}": df for n, df in models.items()}

@@ -11,6 +11,7 @@ from ..functions import sales
 from ..functions.hashing import NULL_KEY
 from ..operators import volumes
 from .bindings import AS_OF, BINDINGS, SPLIT_AT, STAGED_AT, TABLES
+from .checks import AMOUNTS, REQUIRED
 
 STAGED = f"TIMESTAMP '{STAGED_AT}'"
 DAY = f"DATE '{AS_OF}'"
@@ -254,8 +255,73 @@ CRM_COLUMNS = ", ".join(f.name for f in DOMAINS["crm"].schema if f.name != "inge
 NULL_COUNTS = ("opportunity_id", "stage", "value", "agent", "region")
 
 
-def _report_row(check: str, table: str, severity: str, select: str) -> str:
-    return f"SELECT '{check}' AS check_name, '{table}' AS table_name, '{severity}' AS severity, ({select}) AS failures"
+def _count(check: str, table: str, relation: str, failing: str, severity: str = "error") -> str:
+    return (
+        f"SELECT '{check}' AS check_name, '{table}' AS table_name, '{severity}' AS severity, "
+        f"count(*) FILTER ({failing}) AS failures FROM {relation}"
+    )
+
+
+def _unique(table: str, relation: str, key: str, label: str = "") -> str:
+    grouped = f"(SELECT count({key}) AS n FROM {relation} GROUP BY {key})"
+    return _count(f"unique:{label or key}", table, grouped, "n > 1")
+
+
+def _typed_checks(name: str) -> list[str]:
+    d, table, relation = DOMAINS[name], f"silver.{name}", f"slv_{name}"
+    filled = (d.sk, d.key, *REQUIRED[name], "ingested_at", "staged_at")
+    rows = [_count(f"not_null:{c}", table, relation, f"{c} IS NULL") for c in filled]
+    rows += [_unique(table, relation, k) for k in (d.sk, d.key)]
+    if name in AMOUNTS:
+        rows.append(_count(f"expression:{AMOUNTS[name]} >= 0", table, relation, f"{AMOUNTS[name]} < 0"))
+    if name == "booking":
+        rows.append(_count("travel_dates", table, relation, "travel_end_date < travel_start_date", "warn"))
+    if name == "customer":
+        form = "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"
+        rows.append(_count("email_format", table, relation, f"NOT regexp_matches(email, '{form}')", "warn"))
+    return rows
+
+
+def _opportunity_checks(known: str) -> list[str]:
+    table = "gold.dashboard_opportunities"
+    bad = f"(SELECT DISTINCT stage FROM opp WHERE stage NOT IN ({known}))"
+    return [
+        *[_count(f"not_null:{c}", table, "opp", f"{c} IS NULL") for c in ("opportunity_id", "stage", "value")],
+        _count("expression:value >= 0", table, "opp", "value < 0"),
+        _count("accepted_values:stage", table, bad, "TRUE"),
+        _unique(table, "opp", "opportunity_id"),
+    ]
+
+
+def _conversion_checks(by: str) -> list[str]:
+    table, relation = f"gold.conversion_by_{by}", f"by_{by}"
+    filled = (by, "total_opportunities", "won_opportunities", "win_rate_pct")
+    rules = {
+        "expression:total_opportunities > 0": ("total_opportunities <= 0", "error"),
+        "expression:won_opportunities >= 0": ("won_opportunities < 0", "error"),
+        "expression:win_rate_pct >= 0": ("win_rate_pct < 0", "error"),
+        "expression:win_rate_pct <= 100": ("win_rate_pct > 100", "error"),
+        "won_lte_total": ("won_opportunities > total_opportunities", "warn"),
+        "rate_bounds": ("won_opportunities + lost_opportunities > total_opportunities", "warn"),
+    }
+    return [
+        *[_count(f"not_null:{c}", table, relation, f"{c} IS NULL") for c in filled],
+        *[_count(n, table, relation, failing, severity) for n, (failing, severity) in rules.items()],
+        _unique(table, relation, by),
+    ]
+
+
+def _opaque_checks(name: str) -> list[str]:
+    sk, table, relation = DOMAINS[name].sk, f"silver.{name}", f"slv_{name}"
+    missing = " OR ".join(f"json_extract_string(event_payload, '$.{t}') IS NULL" for t in ("ingested_at", "staged_at"))
+    return [
+        _count("not_null:event_sk", table, relation, f"{sk} IS NULL"),
+        *[_count(f"not_null:{c}", table, relation, f"{c} IS NULL") for c in ("staged_at", "ingested_at", "event_payload")],
+        _count("timestamp_order", table, relation, "staged_at < ingested_at", "warn"),
+        _count("payload_json", table, relation, "NOT json_valid(event_payload)", "warn"),
+        _count("payload_metadata", table, relation, missing if name == "support" else "FALSE", "warn"),
+        _unique(table, relation, sk, "event_sk"),
+    ]
 
 
 def _build() -> dict[str, str]:
@@ -504,20 +570,10 @@ def _build() -> dict[str, str]:
         FULL JOIN (SELECT column_name, data_type AS new_type FROM seen_invoice) n USING (column_name))
         WHERE change IS NOT NULL"""
     q["dq_report"] = " UNION ALL ".join(
-        [_report_row(f"not_null:{c}", "dashboard_opportunities", "error",
-                     f"SELECT count(*) FROM opp WHERE {c} IS NULL") for c in ("opportunity_id", "stage", "value")]
-        + [
-            _report_row("unique", "dashboard_opportunities", "error", "SELECT count(*) - count(DISTINCT opportunity_id) FROM opp"),
-            _report_row("accepted_values", "dashboard_opportunities", "error",
-                        f"SELECT count(DISTINCT stage) FROM opp WHERE stage NOT IN ({known})"),
-            _report_row("value_not_negative", "dashboard_opportunities", "error", "SELECT count(*) FROM opp WHERE value < 0"),
-            _report_row("travel_dates", "booking", "warn",
-                        "SELECT count(*) FROM slv_booking WHERE travel_end_date < travel_start_date"),
-            _report_row("email_format", "customer", "warn", f"SELECT count(*) FROM ({q['dq_email_format']})"),
-            _report_row("won_lte_total", "conversion", "warn", f"SELECT count(*) FROM ({q['dq_won_lte_total']})"),
-            _report_row("rate_bounds", "conversion_by_agent", "warn", f"SELECT count(*) FROM ({q['dq_rate_bounds']})"),
-        ]
+        [*_typed_checks("booking"), *_typed_checks("crm"), *_typed_checks("customer"), *_opportunity_checks(known)]
+        + [row for by in ("agent", "product") for row in _conversion_checks(by)]
     )
+    q["dq_opaque_report"] = " UNION ALL ".join(row for n in MONITORS["engagement"] for row in _opaque_checks(n))
     q["dq_volume_bands"] = f"""SELECT table_name, row_count, CASE WHEN row_count >= {volumes.OK_ROWS} THEN 'OK'
         WHEN row_count >= {volumes.MEDIUM_ROWS} THEN 'MED' ELSE 'LOW' END AS status FROM volumes"""
     q["volume_band_totals"] = f"""SELECT count(*) FILTER (status = 'OK') AS tables_ok,

@@ -19,6 +19,7 @@ from ..sources import files, messages
 from ..sources.tables import UpsertTable
 from ..streaming import ingest, upsert
 from . import bindings as b
+from . import checks
 from .adhoc import adhoc_sql, gold_views
 from .medallion import medallion_run
 
@@ -79,7 +80,7 @@ def _on_conversion(by: str, build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _monitor(group: str) -> Query:
     names = MONITORS[group]
-    return lambda spark, sf: gold.monitor_events(b.opaque_index(spark, sf, names), names)
+    return lambda spark, sf: gold.event_monitor({n: b.opaque_index(spark, sf, n) for n in names})
 
 
 def _deals(keep: Callable[[DataFrame], DataFrame]) -> Query:
@@ -276,9 +277,8 @@ def _not_null(opportunities: DataFrame) -> DataFrame:
 
 def _timestamp_order(spark: SparkSession, sf: str) -> DataFrame:
     """All opaque domains, staged before the newest events came in."""
-    return quality.dq_timestamp_order(b.opaque_index(spark, sf, OPAQUE, b.SPLIT_AT)).select(
-        "domain", "ingested_at", "staged_at"
-    )
+    rows = {n: quality.dq_timestamp_order(b.opaque_index(spark, sf, n, b.SPLIT_AT)) for n in OPAQUE}
+    return gold.tagged_union(rows, "domain", "ingested_at", "staged_at")
 
 
 def _won_lte_total(opportunities: DataFrame) -> DataFrame:
@@ -333,24 +333,17 @@ def _schema_change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
-    opportunities = b.opportunities(spark, sf)
-    by_agent = gold.conversion(opportunities, "agent")
-    by_product = gold.conversion(opportunities, "product")
-    deals, count = "dashboard_opportunities", quality.failure_count
-    return quality.dq_report(
-        [
-            quality.column_report(
-                quality.dq_not_null(opportunities, ["opportunity_id", "stage", "value"]), "not_null", deals
-            ),
-            count(quality.dq_unique(opportunities, "opportunity_id"), "unique", deals),
-            count(quality.dq_accepted_values(opportunities), "accepted_values", deals),
-            count(quality.dq_expression_true(opportunities, "value >= 0"), "value_not_negative", deals),
-            count(quality.dq_travel_dates(b.silver_rows(spark, sf, "booking")), "travel_dates", "booking", "warn"),
-            count(quality.dq_email_format(b.silver_rows(spark, sf, "customer")), "email_format", "customer", "warn"),
-            count(quality.dq_won_lte_total(by_agent, by_product), "won_lte_total", "conversion", "warn"),
-            count(quality.dq_rate_bounds(by_agent), "rate_bounds", "conversion_by_agent", "warn"),
-        ]
-    )
+    """The checks of the typed silver tables and their gold, each table built once."""
+    rows = {n: files.materialize(b.silver_rows(spark, sf, n), f"checked-{n}") for n in ("booking", "crm", "customer")}
+    deals = gold.dashboard_opportunities(rows["crm"], b.AS_OF)
+    marts = {f"conversion_by_{by}": gold.conversion(deals, by) for by in ("agent", "product")}
+    return checks.typed_and_gold_report(rows, {"dashboard_opportunities": deals, **marts})
+
+
+def _opaque_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of the engagement domains, all at once."""
+    names = MONITORS["engagement"]
+    return checks.opaque_report({n: b.silver_rows(spark, sf, n) for n in names})
 
 
 def _rate_bounds(opportunities: DataFrame) -> DataFrame:
@@ -493,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "dq_payload_metadata": _payload_metadata,
     "dq_rate_bounds": _on_opportunities(_rate_bounds),
     "dq_report": _dq_report,
+    "dq_opaque_report": _opaque_report,
     "dq_volume_bands": _on_volumes(volumes.volume_bands),
     "volume_band_totals": _on_volumes(lambda v: volumes.volume_band_totals(volumes.volume_bands(v))),
     "dq_conversion_invariants": _on_conversion("agent", lambda m: quality.dq_conversion_invariants(m, "agent")),

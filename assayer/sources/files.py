@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_dir
+
 
 def _hadoop_path(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,6 +65,16 @@ def overwrite_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared scratch folder and read back, for results that several branches build on.
+
+    Unlike a cached block the files outlive an executor, and each branch prunes its own columns.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_records(df: DataFrame) -> DataFrame:
     """One JSON object per row, NULL fields kept."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))

@@ -11,6 +11,10 @@ from assayer.functions.hashing import NULL_KEY, row_hash, row_json, surrogate_ke
 def test_trim_strips_all_unicode_space_and_blank_is_null(column):
     values = ["\t Web \n", "   ", " x　", " ", None, "", "a b"]
     assert column(cl.text, values) == ["Web", None, "x", None, None, None, "a b"]
+    spaces = list(cl.WHITESPACE)
+    edges = [s + "a" + t for s in spaces for t in spaces] + ["é", " é\u00a0", "\x7f", "~", "!", "\u200b"]
+    expected = ["a"] * len(spaces) ** 2 + ["é", "é", "\x7f", "~", "!", "\u200b"]
+    assert column(cl.text, edges) == expected
     assert column(cl.lower_text, ["\t Web \n", "PROSPECCIÓN"]) == ["web", "prospección"]
     assert column(cl.upper_text, [" mx "]) == ["MX"]
 

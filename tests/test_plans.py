@@ -88,6 +88,10 @@ def test_message_is_parsed_once(spark, sf_dir):
     assert text.count("from_json") == 1
 
 
-def test_monitor_has_one_shuffle_for_all_domains_after_dedup(spark, sf_dir):
-    text = plan(spark_entry.queries()["engagement_event_monitor"](spark, sf_dir))
-    assert text.count("Exchange hashpartitioning") == 2
+def test_monitor_counts_without_a_key(spark, tmp_path):
+    spark.range(9).selectExpr("id", "timestamp_micros(id) AS ingested_at", "timestamp_micros(id) AS staged_at").write.parquet(
+        str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    text = plan(gold.event_monitor({"fraud": stored, "seat": stored}))
+    assert "Exchange hashpartitioning" not in text and text.count("HashAggregate(keys=[]") == 4
+    assert "ReadSchema: struct<ingested_at:timestamp,staged_at:timestamp>" in text

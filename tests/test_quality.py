@@ -108,9 +108,10 @@ def test_payload_schema_sees_json_types(spark):
 def test_report_rows(spark):
     df = spark.createDataFrame([("a",), (None,)], "k string")
     report = q.dq_report([
-        q.column_report(q.dq_not_null(df, ["k"]), "not_null", "t"),
+        q.row_checks(df, "t", {"not_null:k": (F.col("k").isNull(), "error"), "odd": (F.col("k") == "a", "warn")}),
         q.failure_count(df.filter(F.lit(False)), "none", "t", "warn"),
     ])
-    assert {tuple(r) for r in report.collect()} == {("not_null:k", "t", "error", 1), ("none", "t", "warn", 0)}
+    assert {tuple(r) for r in report.collect()} == {
+        ("not_null:k", "t", "error", 1), ("odd", "t", "warn", 1), ("none", "t", "warn", 0)}
     with pytest.raises(ValueError):
         q.failure_count(df, "x", "t", "info")
