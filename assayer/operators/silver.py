@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..catalogue import DOMAINS, Domain
 from ..functions.cleaning import lower_text, safe_date, safe_timestamp, text, upper_text
 from ..functions.hashing import row_json
+from ..sources.files import INGEST_DAY
 
 EPOCH_FLOOR = "1900-01-01 00:00:00"
 
@@ -144,10 +145,14 @@ def ingestion_bound(target: DataFrame) -> Column:
 def incremental_filter(df: DataFrame, target: DataFrame | None) -> DataFrame:
     """Rows ingested after everything in ``target``; all rows when there is no target yet.
 
-    The bound is a literal, so it reaches the parquet scan and skips row groups. The comparison is strict:
-    equal and NULL times are skipped.
+    The bound is a literal, so it reaches the parquet scan and skips row groups, and whole folders where bronze
+    is kept by day. The comparison is strict: equal and NULL times are skipped.
     """
-    return df if target is None else df.filter(F.col("ingested_at") > ingestion_bound(target))
+    if target is None:
+        return df
+    bound = ingestion_bound(target)
+    fresh = df.filter(F.col("ingested_at") > bound)
+    return fresh.filter(F.col(INGEST_DAY) >= F.to_date(bound)) if INGEST_DAY in df.columns else fresh
 
 
 def skipped_rows(df: DataFrame, target: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import gold, quality
 from ..operators.silver import incremental_filter, silver
 from ..operators.staging import stage_events
 from ..operators.volumes import table_volumes
-from ..sources.files import overwrite_table
+from ..sources.files import conform, overwrite_table
 from ..sources.tables import UpsertTable
 from .checks import full_report
 
@@ -43,10 +43,9 @@ def run_silver(
         table = silver_table(spark, root, domain)
         if table.folded(run_id):
             return
-        fresh = incremental_filter(bronze(name), table.rows_before(run_id))
+        fresh = conform(incremental_filter(bronze(name), table.rows_before(run_id)), domain.schema)
         table.write_batch(silver(stage_events(fresh, staged_at), domain), run_id)
-        if table.pending() > compact_every:
-            table.compact()
+        table.compact_if_worth(compact_every)
 
     # The tables are independent; several at once keep the executors busy between the small ones.
     with ThreadPoolExecutor(PARALLEL_MODELS) as pool:

@@ -22,13 +22,24 @@ RUNTIME_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# For tables of many terabytes: plenty of small shuffle partitions that AQE joins to even sizes at run time.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 
-def build(app_name: str = "assayer", master: str | None = None, **conf: str) -> SparkSession:
+def build(app_name: str = "assayer", master: str | None = None, cluster: bool = False, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {**SEMANTIC_CONF, **RUNTIME_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}
+    sizes = CLUSTER_CONF if cluster else {}
+    settings = {**SEMANTIC_CONF, **RUNTIME_CONF, **sizes, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..session import scratch_dir
 
+# Bronze folders by day let an incremental read skip whole folders, not only row groups.
+INGEST_DAY = "ingest_date"
+
 
 def _hadoop_path(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,6 +28,11 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    hadoop, fs = _hadoop_path(spark, path)
+    return fs.getContentSummary(hadoop).getLength()
+
+
 def scan_source(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All columns of a bronze table. With a schema, columns an old file lacks read as NULL."""
     reader = spark.read
@@ -44,15 +52,24 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def with_ingest_day(df: DataFrame) -> DataFrame:
+    """Add the partition column of bronze tables: the day of ``ingested_at``."""
+    return df.withColumn(INGEST_DAY, F.to_date("ingested_at"))
+
+
 def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """An empty typed table; an existing one is left alone."""
     if not path_exists(spark, path):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
-def append_bronze(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
-    """Append rows to a bronze table, created on first use."""
-    (conform(df, schema) if schema is not None else df).write.mode("append").parquet(path)
+def append_bronze(df: DataFrame, path: str, schema: T.StructType | None = None, by_day: bool = False) -> None:
+    """Append rows to a bronze table, created on first use; ``by_day`` makes a folder per day of ingestion."""
+    rows = conform(df, schema) if schema is not None else df
+    if by_day:
+        with_ingest_day(rows).write.mode("append").partitionBy(INGEST_DAY).parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def add_column_if_missing(df: DataFrame, name: str, data_type: T.DataType | str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import DOMAINS, Domain
-from ..sources.files import child_names, conform, path_exists
+from ..sources.files import INGEST_DAY, child_names, conform, path_exists, with_ingest_day
 from ..sources.messages import parse_json_events, rejected_messages, stamp_ingested_at
 
 
@@ -25,10 +25,12 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Parse, filter, stamp and append each message once; the checkpoint makes a restart resume.
 
-    Everything is element-wise, so no state and no shuffle: throughput grows with the source partitions.
+    Everything is element-wise, so no state and no shuffle: throughput grows with the source partitions. The
+    table has a folder per day of ingestion.
     """
     rows = conform(stamp_ingested_at(parse_json_events(messages, schema, required), precision=precision), schema)
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    writer = with_ingest_day(rows).writeStream.format("parquet").outputMode("append").partitionBy(INGEST_DAY)
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer if continuous else writer.trigger(availableNow=True)).start(path)
 
 

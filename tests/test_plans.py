@@ -11,6 +11,7 @@ from assayer.operators import gold
 from assayer.operators import silver as sv
 from assayer.operators.staging import stage_events
 from assayer.plans import bindings
+from assayer.sources.files import append_bronze, scan_source
 
 WRITES = {"append_bronze", "fanout_bronze", "full_refresh", "medallion_run", "stream_ingest", "stream_upsert_latest",
           "stream_replay_dedup"}
@@ -57,6 +58,14 @@ def test_incremental_bound_reaches_the_scan(bronze):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(ingested_at,2024-01-19", text)
 
 
+def test_incremental_read_skips_whole_days(spark, bronze, tmp_path):
+    append_bronze(bronze, str(tmp_path / "t"), DOMAINS["crm"].schema, by_day=True)
+    rows = scan_source(spark, str(tmp_path / "t"), DOMAINS["crm"].schema)
+    fresh = sv.incremental_filter(rows, bronze.filter("ingested_at < '2024-01-20'"))
+    assert re.search(r"PartitionFilters: \[[^\]]*ingest_date#\d+ >= 2024-01-19", plan(fresh))
+    assert fresh.count() == bronze.filter("ingested_at >= '2024-01-20'").count()
+
+
 def test_marts_read_only_their_columns_and_aggregate_before_the_shuffle(spark, bronze, tmp_path):
     sv.silver(stage_events(bronze, "2024-02-01"), DOMAINS["crm"]).write.parquet(str(tmp_path / "s"))
     mart = gold.conversion(gold.dashboard_opportunities(spark.read.parquet(str(tmp_path / "s")), "2024-01-31"), "agent")

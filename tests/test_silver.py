@@ -131,3 +131,24 @@ def test_table_ignores_uncommitted_batches_and_keeps_columns(spark, tmp_path):
     assert {tuple(r) for r in table.read().collect()} == {("A", 9, None), ("B", None, "x")}
     table.write_batch(spark.createDataFrame([("A", 0)], "k string, v int"), 2)  # late replay of a folded batch
     assert table.pending() == 0
+
+
+def test_table_compacts_only_when_it_pays(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    big = spark.range(20_000).selectExpr("CAST(id AS STRING) AS k", "uuid() AS v")
+    table.write_batch(big, 1)
+    table.compact_if_worth()
+    assert table.pending() == 1  # a single batch needs no merging
+    table.write_batch(big.limit(5), 2)
+    table.compact_if_worth()
+    assert table.folded(2)  # several batches without a base
+    for n in (3, 4, 5):
+        table.write_batch(big.limit(5), n)
+        table.compact_if_worth()
+    assert table.pending() == 3 and table.log_share() < 0.1
+    table.compact_if_worth(max_batches=2)
+    assert table.folded(5) and table.read().count() == 20_000
+    table.write_batch(big.limit(4_000), 6)
+    table.write_batch(big.limit(4_000), 7)
+    table.compact_if_worth()
+    assert table.folded(7)
