@@ -245,7 +245,7 @@ def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     b.mixed_messages(spark, sf).write.parquet(landing)
     stream = messages.message_stream(spark, "parquet", "value string", path=landing)
     ingest.stream_ingest(stream, CRM.schema, out, state, CRM_REQUIRED).awaitTermination()
-    return spark.read.schema(CRM_MESSAGE).parquet(out)
+    return files.scan_source(spark, out, CRM.schema).select(*CRM_MESSAGE.names)
 
 
 def _stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
