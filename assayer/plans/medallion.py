@@ -1,4 +1,4 @@
-"""One batch run: silver, then gold, then checks and quality metrics."""
+"""One batch run: silver, then gold, then metrics and checks."""
 
 from __future__ import annotations
 
@@ -14,13 +14,16 @@ from ..operators import gold, quality
 from ..operators.silver import incremental_filter, silver
 from ..operators.staging import stage_events
 from ..operators.volumes import table_volumes
-from ..sources.files import conform, overwrite_table
+from ..sources.files import child_names, conform, overwrite_table
 from ..sources.tables import UpsertTable
 from .checks import full_report
 
 # Fixed value: models that run at the same time.
 PARALLEL_MODELS = 4
 VIEWS = ("dashboard_opportunities", "stale_opportunities")
+# Marts whose volume or schema is watched from run to run.
+VOLUME_WATCHED = ("dashboard_opportunities", "opportunities_by_stage", "conversion_by_agent", "conversion_by_product")
+SCHEMA_WATCHED = ("dashboard_opportunities", "opportunities_by_stage")
 
 
 def silver_table(spark: SparkSession, root: str, domain: Domain) -> UpsertTable:
@@ -86,7 +89,7 @@ def run_gold(spark: SparkSession, root: str, as_of: date | str) -> dict[str, Dat
 
 
 def run_metrics(spark: SparkSession, root: str, models: dict[str, DataFrame], run_id: int, run_at: datetime | str):
-    """Append row counts and column metrics of this run to the history the monitors score."""
+    """Keep row counts, column metrics and schemas of this run for the monitors of later runs."""
     counts = table_volumes(models).select(
         "table_name",
         F.lit("").alias("column_name"),
@@ -98,19 +101,48 @@ def run_metrics(spark: SparkSession, root: str, models: dict[str, DataFrame], ru
     )
     run = counts.unionByName(columns).withColumn("run_at", F.lit(run_at).cast("timestamp"))
     run.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_metrics/run_id={run_id}")
+    schemas = {name: quality.schema_snapshot(models[name]) for name in SCHEMA_WATCHED}
+    kept = gold.tagged_union(schemas, "table_name", "column_name", "data_type")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_schemas/run_id={run_id}")
+
+
+def history(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/dq_metrics")
+
+
+def anomaly_report(spark: SparkSession, root: str, run_id: int) -> DataFrame:
+    """What the monitors say about one run, given the runs before it: one warning row per series or table."""
+    past = history(spark, root).filter(F.col("run_id") <= run_id)
+    rows = past.filter((F.col("metric") == "row_count") & F.col("table_name").isin(*VOLUME_WATCHED))
+    volume = quality.dq_volume_anomaly(rows).withColumn("check_name", F.lit("volume_anomaly"))
+    column = quality.dq_column_anomaly(past.filter(F.col("metric") != "row_count")).withColumn(
+        "check_name", F.concat(F.lit("column_anomaly:"), "column_name", F.lit("."), "metric")
+    )
+    scored = volume.unionByName(column, allowMissingColumns=True).filter(F.col("run_id") == run_id)
+    found = [
+        scored.select(
+            "check_name",
+            "table_name",
+            F.lit("warn").alias("severity"),
+            F.when(F.col("status") == "anomaly", 1).otherwise(0).cast("long").alias("failures"),
+        )
+    ]
+    schemas = spark.read.parquet(f"{root}/dq_schemas")
+    earlier = [int(n.partition("=")[2]) for n in child_names(spark, f"{root}/dq_schemas") if n.startswith("run_id=")]
+    last = max((n for n in earlier if n < run_id), default=run_id)
+    for name in SCHEMA_WATCHED:
+        snapshots = [schemas.filter((F.col("run_id") == n) & (F.col("table_name") == name)) for n in (last, run_id)]
+        found.append(quality.failure_count(quality.dq_schema_change(*snapshots), "schema_change", name, "warn"))
+    return quality.dq_report(found)
 
 
 def run_checks(spark: SparkSession, root: str, models: dict[str, DataFrame], run_id: int) -> None:
-    """Store the outcome of every declared check on this run's tables."""
+    """Store the outcome of every declared check and monitor on this run's tables."""
     rows = {name: silver_table(spark, root, d).read() for name, d in DOMAINS.items()}
-    report = full_report(rows, models)
+    report = quality.dq_report([full_report(rows, models), anomaly_report(spark, root, run_id)])
     report.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_report/run_id={run_id}")
 
 
-def history(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/dq_metrics")
-
-
 def medallion_run(
     spark: SparkSession,
     bronze: Callable[[str], DataFrame],
@@ -119,14 +151,14 @@ def medallion_run(
     staged_at: datetime | str,
     as_of: date | str,
 ) -> DataFrame:
-    """Silver, gold, checks and metrics in that order; returns the rows per silver and gold relation.
+    """Silver, gold, metrics and checks in that order; returns the rows per silver and gold relation.
 
     ``run_id`` must grow from run to run. Repeating one is safe: it replaces its own silver batch.
     """
     run_silver(spark, bronze, root, run_id, staged_at)
     models = run_gold(spark, root, as_of)
-    run_checks(spark, root, models, run_id)
     run_metrics(spark, root, models, run_id, staged_at)
+    run_checks(spark, root, models, run_id)
     tables = {f"silver.{n}": silver_table(spark, root, d).read() for n, d in DOMAINS.items()}
     tables |= {f"gold.{n}": df for n, df in models.items()}
     return table_volumes(tables)

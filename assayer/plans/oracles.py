@@ -574,6 +574,10 @@ def _build() -> dict[str, str]:
         + [row for by in ("agent", "product") for row in _conversion_checks(by)]
     )
     q["dq_opaque_report"] = " UNION ALL ".join(row for n in MONITORS["engagement"] for row in _opaque_checks(n))
+    q["dq_staging_report"] = " UNION ALL ".join(
+        _count(f"not_null:{c}", f"staging.{n}", f"stg_{n}", f"{c} IS NULL")
+        for n in ("booking", "crm", "customer") for c in ("row_hash", "staged_at")
+    )
     q["dq_volume_bands"] = f"""SELECT table_name, row_count, CASE WHEN row_count >= {volumes.OK_ROWS} THEN 'OK'
         WHEN row_count >= {volumes.MEDIUM_ROWS} THEN 'MED' ELSE 'LOW' END AS status FROM volumes"""
     q["volume_band_totals"] = f"""SELECT count(*) FILTER (status = 'OK') AS tables_ok,

@@ -340,6 +340,10 @@ def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
     return checks.typed_and_gold_report(rows, {"dashboard_opportunities": deals, **marts})
 
 
+def _staging_report(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.dq_report([checks.staging_report(b.staged(spark, sf, n), n) for n in ("booking", "crm", "customer")])
+
+
 def _opaque_report(spark: SparkSession, sf: str) -> DataFrame:
     """The checks of the engagement domains, all at once."""
     names = MONITORS["engagement"]
@@ -487,6 +491,7 @@ QUERIES: dict[str, Query] = {
     "dq_rate_bounds": _on_opportunities(_rate_bounds),
     "dq_report": _dq_report,
     "dq_opaque_report": _opaque_report,
+    "dq_staging_report": _staging_report,
     "dq_volume_bands": _on_volumes(volumes.volume_bands),
     "volume_band_totals": _on_volumes(lambda v: volumes.volume_band_totals(volumes.volume_bands(v))),
     "dq_conversion_invariants": _on_conversion("agent", lambda m: quality.dq_conversion_invariants(m, "agent")),

@@ -123,5 +123,22 @@ def test_medallion_is_incremental_and_repeatable(spark, tmp_path, sources):
     assert report.select("run_id").distinct().count() == 2
     assert report.filter("table_name LIKE 'silver.%'").select("table_name").distinct().count() == 26
     assert report.filter("severity = 'error' AND table_name = 'silver.fraud' AND failures > 0").count() == 0
+    watched = {r.check_name: r.failures for r in report.filter("run_id = 2 AND severity = 'warn'").collect()}
+    assert watched["volume_anomaly"] == watched["schema_change"] == watched["column_anomaly:value.null_count"] == 0
     runs = medallion.history(spark, root).filter("metric = 'row_count' AND table_name = 'conversion_by_agent'")
     assert runs.count() == 2
+
+
+def test_monitors_flag_a_run_against_the_runs_before(spark, tmp_path):
+    root = str(tmp_path)
+    for run_id, rows in enumerate((100, 101, 99, 100, 900)):
+        frame = spark.range(rows).select(F.when(F.col("id") < 200, F.lit(1.0)).alias("value"))
+        if run_id == 4:
+            frame = frame.withColumn("extra", F.lit(1))
+        models = {n: frame for n in {*medallion.VOLUME_WATCHED, *medallion.SCHEMA_WATCHED}}
+        medallion.run_metrics(spark, root, models, run_id, dt.datetime(2024, 1, 1 + run_id))
+    flagged = lambda n: {(r.check_name, r.table_name) for r in
+                         medallion.anomaly_report(spark, root, n).filter("failures > 0").collect()}
+    assert flagged(3) == set() and flagged(0) == set()
+    assert flagged(4) == {("volume_anomaly", n) for n in medallion.VOLUME_WATCHED} | {
+        ("schema_change", n) for n in medallion.SCHEMA_WATCHED}
