@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import Domain
@@ -40,16 +41,21 @@ def stream_upsert_latest(
     )
 
 
-def drop_replays(rows: DataFrame, within: str = "1 day") -> DataFrame:
+def drop_replays(rows: DataFrame, within: str = "1 day", parts: int = 32) -> DataFrame:
     """Drop rows equal in everything but ``ingested_at`` that arrive within the given time of each other.
 
-    Works on streams (state is bounded by the watermark) and on batches, where the watermark has no effect.
+    On streams the state is bounded by the watermark. A message delivered over and over would send all its
+    copies to one state partition, so copies are first dropped in ``parts`` shares, cut by source partition; at
+    most one copy per share goes on to the second step, which drops the rest. On batches the partial aggregate
+    does the same, and the time has no effect.
     """
     content = [c for c in rows.columns if c != "ingested_at"]
     hashed = rows.withColumn("content_hash", row_hash(content))
-    if rows.isStreaming:
-        return hashed.withWatermark("ingested_at", within).dropDuplicatesWithinWatermark(["content_hash"])
-    return hashed.dropDuplicates(["content_hash"])
+    if not rows.isStreaming:
+        return hashed.dropDuplicates(["content_hash"])
+    shared = hashed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    few = shared.withWatermark("ingested_at", within).dropDuplicatesWithinWatermark(["content_hash", "_part"])
+    return few.drop("_part").dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def stream_replay_dedup(rows: DataFrame, path: str, checkpoint: str, within: str = "1 day") -> StreamingQuery:

@@ -86,6 +86,19 @@ def test_replays_are_dropped_on_streams_and_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_replays_of_one_hot_message_spread_and_later_batches_still_drop_them(spark, tmp_path):
+    """A third of all rows are copies of one message, over many source files and two loads."""
+    inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for load in range(2):
+        ids = spark.range(0, 600, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("opportunity_id"))
+        rows = conform(ids.withColumn("ingested_at", F.lit(f"2024-01-0{load + 1}").cast("timestamp")), CRM.schema)
+        rows.write.mode("append").parquet(inbox)
+        stream = message_stream(spark, "parquet", CRM.schema, path=inbox)
+        upsert.stream_replay_dedup(stream, out, state, "2 days").awaitTermination()
+        found = spark.read.parquet(out)
+        assert found.count() == 401 and found.select("opportunity_id").distinct().count() == 401
+
+
 @pytest.fixture
 def sources(spark):
     """Bronze of all domains up to a day: one CRM row a day, everything else empty but fraud."""
