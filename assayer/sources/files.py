@@ -33,6 +33,11 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop).getLength()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _hadoop_path(spark, path)
+    fs.delete(hadoop, True)
+
+
 def scan_source(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All columns of a bronze table. With a schema, columns an old file lacks read as NULL."""
     reader = spark.read

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import DOMAINS, Domain
-from ..sources.files import INGEST_DAY, child_names, conform, path_exists, with_ingest_day
+from ..sources.files import INGEST_DAY, conform, path_exists, scan_source, with_ingest_day
 from ..sources.messages import parse_json_events, rejected_messages, stamp_ingested_at
 
 
@@ -56,7 +56,8 @@ def fanout_batch(messages: DataFrame, batch_id: int, root: str, domains: Iterabl
             if domain.name in present:
                 rows = parse_json_events(messages.filter(F.col("topic") == domain.name), domain.schema)
                 rows = conform(stamp_ingested_at(rows, at, "second"), domain.schema)
-                rows.write.mode("overwrite").parquet(f"{root}/{domain.name}/batch_id={batch_id}")
+                target = f"{root}/{domain.name}/batch_id={batch_id}"
+                with_ingest_day(rows).write.mode("overwrite").partitionBy(INGEST_DAY).parquet(target)
     finally:
         messages.unpersist()
 
@@ -79,10 +80,9 @@ def fanout_bronze(
     )
 
 
-def read_fanout(spark, root: str, domain: Domain) -> DataFrame:
+def read_fanout(spark: SparkSession, root: str, domain: Domain) -> DataFrame:
     """The bronze table of a domain written by ``fanout_bronze``; typed and empty before its first message."""
     folder = f"{root}/{domain.name}"
-    batches = [b for b in child_names(spark, folder) if path_exists(spark, f"{folder}/{b}/_SUCCESS")]
-    if not batches:
+    if not path_exists(spark, folder):
         return spark.createDataFrame([], domain.schema)
-    return spark.read.schema(domain.schema).parquet(*[f"{folder}/{b}" for b in batches])
+    return scan_source(spark, folder, domain.schema).drop("batch_id")

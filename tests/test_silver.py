@@ -152,3 +152,8 @@ def test_table_compacts_only_when_it_pays(spark, tmp_path):
     table.write_batch(big.limit(4_000), 7)
     table.compact_if_worth()
     assert table.folded(7)
+    table.remove_folded()
+    assert not list((tmp_path / "t" / "log").glob("batch_id=*")) and table.read().count() == 20_000
+    table.write_batch(big.limit(9_000), 8)  # one batch, but too large to merge at every read
+    table.compact_if_worth()
+    assert table.folded(8)
