@@ -20,6 +20,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # For tables of many terabytes: plenty of small shuffle partitions that AQE joins to even sizes at run time.
