@@ -13,7 +13,8 @@ SEMANTIC_CONF = {
     "spark.sql.ansi.enabled": "true",
 }
 
-# Left to AQE at run time: partition coalescing, skewed-partition splitting, broadcast by measured size.
+# Left to AQE at run time: partition coalescing, skewed-partition splitting, broadcast by measured size. The JVM
+# never compiles a method of more than 8000 bytes, so a wider fused stage is better cut into its operators.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +100,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: Mapping[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    """Materialize several independent frames at the same time."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        stored = pool.map(lambda item: materialize(item[1], f"{name}-{item[0]}"), frames.items())
+        return dict(zip(frames, stored))
+
+
 def json_records(df: DataFrame) -> DataFrame:
     """One JSON object per row, NULL fields kept."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
