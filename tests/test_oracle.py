@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as spark_entry
+from assayer.plans import oracles, registry
 from check_oracle import compare, connect
 
 
@@ -14,10 +15,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_agrees_with_sql(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None
 
