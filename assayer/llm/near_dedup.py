@@ -6,10 +6,11 @@ all documents. Frequencies below ``COMMON`` of the documents count as that share
 of a document) / COMMON entries, however many documents there are; that table is broadcast.
 
 Each text draws ``BANDS * ROWS`` samples; texts that agree on all samples of a band meet in its bucket. Equal texts are one node
-from the start. Within a bucket a node is compared with the bucket's smallest node, and with the smallest node of the part that
-also shares the next band; nodes similar to neither go on to another round of their own, until no two are left. So a bucket of n
-texts costs n comparisons a round, never n squared, and hot buckets are only aggregated and joined. A comparison computes the
-exact weighted Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, and classes are the connected components.
+from the start. A node is compared with the smallest node of each of its buckets. A node that does not match one of them goes to the
+buckets of every two bands, where true neighbours still meet and others hardly do; there it is compared with a few leaders of all
+nodes, and with those of the nodes left, round by round, until no bucket has two that met no leader. A bucket of n texts costs a few n
+comparisons a round, never n squared, and hot buckets are only aggregated and joined. A comparison computes the exact weighted
+Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, and classes are the connected components.
 
 Null text counts as empty, and all empty texts are one class. Rows without doc_id belong to classes like others; a class is named by its
 smallest doc_id (null if it has none). Of repeated rows one is kept. Extra columns are ignored by ``near_groups``, kept by ``drop_near_copies``.
@@ -56,7 +57,8 @@ def shingle_sets(words: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray
     key = span_hashes(words.hash, start, end)
     idf = np.concatenate(([0.0], np.cumsum(weights(words.hash))))
     idf = (idf[end] - idf[start]) / np.maximum(end - start, 1)
-    order = np.lexsort((key, text))
+    # One sort: the text's number above, the leading bits of the key below.
+    order = np.argsort((text.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20)))
     text, key, idf = text[order], key[order], idf[order]
     new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])))) if len(key) else order
     # One rounding for all texts, so that a shingle weighs the same wherever it stands.
@@ -76,7 +78,7 @@ def _gamma_table(size: int = 1 << 16) -> np.ndarray:
 
 GAMMA = _gamma_table()
 LOG_GAMMA = np.log(GAMMA)
-_FINE = np.uint64(0xFFFF)
+UNIT = ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
 def signatures(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -90,9 +92,8 @@ def signatures(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) ->
     for k in range(BANDS * ROWS):
         x = (key ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        r = GAMMA[(x >> np.uint64(48)).astype(np.int64)]
-        log_c = LOG_GAMMA[((x >> np.uint64(32)) & _FINE).astype(np.int64)]
-        beta = (((x >> np.uint64(16)) & _FINE).astype(np.float32) + np.float32(0.5)) / np.float32(65536)
+        bits = x.view(np.uint16).reshape(-1, 4)  # three numbers of 16 bits from one hash
+        r, log_c, beta = GAMMA[bits[:, 3]], LOG_GAMMA[bits[:, 2]], UNIT[bits[:, 1]]
         t = np.floor(log_weight / r + beta)
         value = log_c - r * (t + 1 - beta)
         least = np.minimum.reduceat(value, begin)
@@ -115,7 +116,7 @@ def _frequencies(batches):
 
     for part in slices(batches):
         words = Words(part.column("text"), lower=True)
-        order = np.lexsort((words.text, words.hash))
+        order = np.argsort(words.hash, kind="stable")
         h, t = words.hash[order], words.text[order]
         once = np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.empty(0, bool)
         parts.append(np.unique(h[once], return_counts=True))
@@ -189,46 +190,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def _leaders(member: DataFrame, several: int) -> DataFrame:
+    """(key, leader): of each of ``several`` parts of a key's nodes the one with the smallest hash."""
+    part = F.pmod(F.xxhash64("node", F.lit(several)), F.lit(several))
+    best = member.groupBy("key", part).agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("best"))
+    return materialize(best.select("key", F.col("best.node").alias("leader")), "leaders")
+
+
+def _shared(member: DataFrame) -> DataFrame:
+    """The rows whose key has two nodes or more."""
+    busy = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return materialize(member.join(materialize(busy, "busy"), "key", "left_semi"), "members")
+
+
 def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs of nodes (a, b, similarity), enough to connect each bucket's similar texts."""
-    spark = docs.sparkSession
-    member = nodes.where("not empty").select("rep", "node", "bands", F.posexplode("bands").alias("band", "value"))
-    follow = F.col("bands")[(F.col("band") + 1) % BANDS]
-    member = member.select("rep", "node", F.xxhash64("band", "value").alias("one"), F.xxhash64("band", "value", follow).alias("two"))
-    busy = member.groupBy("one").agg(F.count("*").alias("size")).where("size > 1").select("one")
-    member = materialize(member.join(materialize(busy, "busy"), "one", "left_semi"), "members")
-    wanted = materialize(member.select("node").distinct(), "wanted")
+    nodes = nodes.where("not empty").select("node", "bands")
+    one = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+    one = _shared(one)
+    wanted = materialize(one.select("node").distinct(), "wanted")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_number_texts, "node bigint, text string")
     texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi"), "texts")
-    found = []
-    while True:
-        leaders = []
-        for part in ("one", "two"):
-            best = member.groupBy(part).agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("best"))
-            leaders.append(materialize(best.select(part, F.col("best.node").alias("leader")), f"leaders-{part}"))
-        pairs = None
-        for part, best in zip(("one", "two"), leaders):
-            own = member.join(best, part).where("node <> leader").select("node", "leader")
-            pairs = own if pairs is None else pairs.union(own)
-        pairs = pairs.distinct()
-        rows = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other_text")), "leader")
-        tested = rows.select("node", "leader", "text", "other_text").mapInArrow(
-            _verify(weights, similarity), "node bigint, leader bigint, linked boolean, similarity double"
-        )
-        tested = materialize(tested, "tested")
-        good = tested.where("linked")
-        found.append(good.select(F.col("node").alias("a"), F.col("leader").alias("b"), "similarity"))
-        left = member.join(leaders[0], "one").where("node <> leader")
-        left = left.join(good.select("node", "leader"), ["node", "leader"], "left_anti").select("rep", "node", "one", "two")
-        again = left.groupBy("one").agg(F.count("*").alias("size")).where("size > 1").select("one")
-        left = materialize(left, "left")
-        member = materialize(left.join(materialize(again, "again"), "one", "left_semi"), "members")
-        if member.isEmpty():
-            break
-    out = found[0]
+    other = texts.select(F.col("node").alias("leader"), F.col("text").alias("other_text"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        rows = pairs.where("node <> leader").distinct().join(texts, "node").join(other, "leader")
+        columns = rows.select("node", "leader", "text", "other_text")
+        return materialize(columns.mapInArrow(_verify(weights, similarity), "node bigint, leader bigint, linked boolean, similarity double"), "tested")
+
+    # First each node of a bucket with one leader, the same for all buckets that share it.
+    least = materialize(one.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
+    found = [tested(one.join(least, "key").select("node", "leader"))]
+    failed = materialize(found[0].where("not linked").select("node").distinct(), "failed")
+    # Then the nodes that some leader did not match, in the buckets of every two bands: first with some of all nodes there ...
+    two = [F.xxhash64(F.lit(f"{i}-{j}"), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)]
+    pairs_of = nodes.join(wanted, "node", "left_semi").select("node", F.explode(F.array(*two)).alias("key"))
+    left = _shared(pairs_of.join(failed, "node", "left_semi"))
+    keys = materialize(pairs_of.join(failed, "node", "left_semi").select("key").distinct(), "keys")
+    among = pairs_of.join(keys, "key", "left_semi")
+    asked = pairs_of.join(failed, "node", "left_semi").join(_leaders(among, 4), "key").select("node", "leader")
+    found.append(tested(asked))
+    # ... and with each other, more leaders a round, until no bucket has two nodes that met no leader.
+    several = 16
+    while not left.isEmpty():
+        leaders = _leaders(left, several)
+        met = materialize(left.join(leaders, "key"), "met")
+        now = tested(met.select("node", "leader"))
+        found.append(now)
+        good = now.where("linked").select("node", "leader")
+        done = met.join(good, ["node", "leader"], "left_semi").unionByName(met.where("node = leader")).select("node", "key").distinct()
+        left = _shared(left.join(done, ["node", "key"], "left_anti"))
+        several = min(64, 2 * several)
+    every = found[0]
     for more in found[1:]:
-        out = out.union(more)
-    return out if found else spark.createDataFrame([], "a bigint, b bigint, similarity double")
+        every = every.unionByName(more)
+    return every.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"), "similarity")
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
