@@ -228,12 +228,11 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
     two = [F.xxhash64(F.lit(f"{i}-{j}"), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)]
     keys_of = nodes.join(wanted, "node", "left_semi").select("node", F.explode(F.array(*two)).alias("key"))
     own = materialize(keys_of.join(left, "node", "left_semi"), "own")
-    asked = own.groupBy("key").agg(F.min("node").alias("least"))
-    everyone = keys_of.join(materialize(asked.select("key"), "asked"), "key", "left_semi")
-    for leaders in (everyone.groupBy("key").agg(F.min("node").alias("leader")), asked.withColumnRenamed("least", "leader")):
-        pairs = own.join(materialize(leaders, "leaders"), "key").where("node <> leader").select("node", "leader").distinct()
-        found = materialize(found.union(linked(tested(apart(materialize(pairs, "pairs"), found)))), "found")
-    return found
+    asked = materialize(own.groupBy("key").agg(F.min("node").alias("least")), "asked")
+    everyone = keys_of.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("leader"))
+    leaders = materialize(everyone.union(asked).distinct(), "leaders")
+    pairs = own.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
+    return materialize(found.union(linked(tested(materialize(apart(pairs, found), "pairs")))), "found")
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
