@@ -124,6 +124,7 @@ class WordIds:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
         self.encode, self.limit = encode, limit
+        self.few: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -148,10 +149,24 @@ class WordIds:
         keys, first, inverse = words.distinct
         if len(self.keys) + len(keys) > self.limit and len(self.keys):
             self.clear()
-        new = ~np.isin(keys, self.keys, assume_unique=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
         if new.any():
             self._learn(keys[new], words.spelled(first[new]))
-        return np.searchsorted(self.keys, keys)[inverse]
+            at = np.searchsorted(self.keys, keys)
+        return at[inverse]
+
+    def count_few(self, words: list[str]) -> list[int]:
+        """Tokens of a handful of words, remembered apart from the arrays, which are dear to extend by a few."""
+        new = [w for w in words if w not in self.few]
+        if new:
+            if len(self.few) > 200_000:
+                self.few = {}
+                new = words
+            self.few.update(zip(new, map(len, self.encode(new))))
+        return [self.few[w] for w in words]
 
     def counts(self, words: Words) -> np.ndarray:
         """Tokens of each word."""

@@ -13,6 +13,8 @@ rows are counted each. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from .packing import TOKENIZER
 from .text import WordIds, Words, slices, tokenizer_path, word_bpe
 
 LEAF_WORDS = 32
+WORD = re.compile("[^\x20\x09-\x0D]+")
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
 
 
@@ -106,11 +109,9 @@ class TokenTree:
         low = before[-1][1] if before else 0
         shift = len(insert) - (end - at)
         high = after[0][0] + shift if after else len(new)
-        middle = Words(pa.array([new[low:high]], pa.string()))
-        self.encoded += len(middle.hash)
-        raw, n = middle.bytes, self.model.counts(middle).tolist()
-        places = [(low + len(raw[:s].decode()), low + len(raw[:e].decode())) for s, e in zip(middle.starts.tolist(), middle.ends.tolist())]
-        again = [(x, y, t) for (x, y), t in zip(places, n)]
+        middle = list(WORD.finditer(new, low, high))
+        self.encoded += len(middle)
+        again = [(w.start(), w.end(), n) for w, n in zip(middle, self.model.count_few([w.group() for w in middle]))]
         self._set(a, new, before + again + [(x + shift, y + shift, t) for x, y, t in after])
         for i in range(a + 1, b + 1):
             self._set(i, "", [])
