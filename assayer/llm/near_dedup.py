@@ -20,17 +20,21 @@ smallest doc_id (null if it has none). Of repeated rows one is kept. Extra colum
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from ..sources.files import materialize
 from .text import Words, mix, ragged, slices, span_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
+BUCKET_NODES = 20_000
 COMMON = 1e-3
 
 
@@ -194,18 +198,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs of nodes (a, b), enough to connect each bucket's similar texts."""
+    spark = docs.sparkSession
     nodes = nodes.where("not empty").select("node", "bands")
     one = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
     busy = one.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("key", "leader")
     pairs = materialize(one.join(materialize(busy, "busy"), "key").select("node", "leader").distinct(), "pairs")
     wanted = materialize(pairs.select("node").distinct(), "wanted")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_number_texts, "node bigint, text string")
-    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi"), "texts")
-    other = texts.select(F.col("node").alias("leader"), F.col("text").alias("other_text"))
+    texts = texts.groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi")
+    table = f"near_texts_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // BUCKET_NODES))
+    # Laid out by node once, so that the comparisons do not shuffle the texts again.
+    stored = texts.write.format("parquet").bucketBy(buckets, "node").option("path", scratch_dir(spark, "texts"))
+    stored.saveAsTable(table)
+    texts = spark.table(table)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        rows = pairs.where("node <> leader").join(texts, "node").join(other, "leader")
-        columns = rows.select("node", "leader", "text", "other_text")
+        pairs = pairs.where("node <> leader")
+        # Leaders' texts are written apart: a hot leader then meets its nodes by a shuffle that Spark can split.
+        leaders = pairs.select(F.col("leader").alias("node")).distinct()
+        other = materialize(texts.join(leaders, "node", "left_semi").toDF("leader", "other_text"), "leader-texts")
+        columns = pairs.join(texts, "node").join(other, "leader").select("node", "leader", "text", "other_text")
         return materialize(columns.mapInArrow(_verify(weights, similarity), "node bigint, leader bigint, linked boolean, similarity double"), "tested")
 
     def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -232,7 +245,9 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
     everyone = keys_of.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("leader"))
     leaders = materialize(everyone.union(asked).distinct(), "leaders")
     pairs = own.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
-    return materialize(found.union(linked(tested(materialize(apart(pairs, found), "pairs")))), "found")
+    found = materialize(found.union(linked(tested(materialize(apart(pairs, found), "pairs")))), "found")
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
