@@ -19,7 +19,7 @@ MIN_HISTORY = 3
 
 def dq_not_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """NULLs per column, all columns in one pass."""
-    return _per_column(df, {c: F.count_if(F.col(c).isNull()) for c in columns}, "failures")
+    return _per_column(df, {c: F.count_if(F.col(f"`{c}`").isNull()) for c in columns}, "failures")
 
 
 def _per_column(df: DataFrame, metrics: Mapping[str, Column], name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _per_column(df: DataFrame, metrics: Mapping[str, Column], name: str) -> Data
 
 def dq_unique(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once; NULL keys are not looked at."""
-    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_records"))
+    counted = df.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).agg(F.count("*").alias("n_records"))
     return counted.filter(F.col("n_records") > 1)
 
 

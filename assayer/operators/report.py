@@ -10,17 +10,18 @@ from .gold import OPPORTUNITY_COLUMNS, conversion, literal_rows
 
 
 def load_opportunities(opportunities: DataFrame) -> DataFrame:
-    """The nine dashboard columns in business order of the stages."""
+    """The nine dashboard columns in business order of the stages; a stage outside the list becomes NULL."""
     return sort_by_stage_order(opportunities.select(*OPPORTUNITY_COLUMNS))
 
 
 def sort_by_stage_order(df: DataFrame) -> DataFrame:
-    """Rows by stage rank, unknown stages last.
+    """Rows by stage rank; unknown stages become NULL and come last.
 
     The id as second key gives a fixed order and lets the range partitioner cut inside a stage, so that six
     stage values do not mean six partitions.
     """
-    return df.orderBy(sales.stage_rank(F.col("stage")).asc_nulls_last(), "opportunity_id")
+    listed = df.withColumn("stage", F.when(F.col("stage").isin(*sales.STAGE_ORDER), F.col("stage")))
+    return listed.orderBy(sales.stage_rank(F.col("stage")).asc_nulls_last(), "opportunity_id")
 
 
 def with_forecast(opportunities: DataFrame) -> DataFrame:

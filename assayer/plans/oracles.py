@@ -353,9 +353,10 @@ def _build() -> dict[str, str]:
     )
     q["add_column_if_missing"] = "SELECT *, CAST(NULL AS TIMESTAMP) AS ingested_at FROM supplier"
     q["scan_source"] = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
-    q["load_opportunities"] = f"SELECT {OPP_COLUMNS} FROM opp"
+    listed = "CASE WHEN stage IN ({}) THEN stage END AS stage".format(", ".join(f"'{s}'" for s in sales.STAGE_ORDER))
+    q["load_opportunities"] = f"SELECT {OPP_COLUMNS} FROM (SELECT * REPLACE ({listed}) FROM opp)"
     ranks = _case({s: i for i, s in enumerate(sales.STAGE_ORDER)}, "stage", "NULL")
-    q["sort_by_stage_order"] = f"SELECT opportunity_id, stage, CAST({ranks} AS INTEGER) AS stage_rank FROM opp"
+    q["sort_by_stage_order"] = f"SELECT opportunity_id, {listed}, CAST({ranks} AS INTEGER) AS stage_rank FROM opp"
     record = [("opportunity_id", T.StringType()), ("stage", T.StringType()), ("region", T.StringType()),
               ("product", T.StringType()), ("agent", T.StringType()), ("value", T.DoubleType()),
               ("days_since_update", T.IntegerType()), ("days_until_expected_close", T.IntegerType()),

@@ -260,7 +260,7 @@ def _stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.bronze(spark, sf, "crm")
     rows.unionByName(rows).write.parquet(landing)
     stream = messages.message_stream(spark, "parquet", CRM.schema, path=landing)
-    upsert.stream_replay_dedup(stream, out, state, "40 days").awaitTermination()
+    upsert.stream_replay_dedup(stream, out, state, "1 day").awaitTermination()
     return spark.read.schema(CRM.schema).parquet(out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,9 +59,12 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster.
 
-    Only a session that names no such folder (a local test) gets a machine-local one.
+    Only a local session that names no such folder (a test) gets a machine-local one; elsewhere executors would not
+    see each other's files, so a missing folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="assayer-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import JSON_OPTIONS
 from ..session import scratch_dir
 
 # Bronze folders by day let an incremental read skip whole folders, not only row groups.
@@ -36,6 +37,11 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop).getLength()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _hadoop_path(spark, path)
+    fs.mkdirs(hadoop)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop, fs = _hadoop_path(spark, path)
     fs.delete(hadoop, True)
@@ -108,8 +114,8 @@ def materialize_all(frames: Mapping[str, DataFrame], name: str) -> dict[str, Dat
 
 
 def json_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row, NULL fields kept."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    """One JSON object per row, NULL fields and microseconds kept."""
+    return df.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("record"))
 
 
 def export_json_records(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,20 +44,23 @@ def stream_quarantine(
     return writer.trigger(availableNow=True).start(path)
 
 
-def fanout_batch(messages: DataFrame, batch_id: int, root: str, domains: Iterable[Domain], at: Column | None) -> None:
+def fanout_batch(
+    messages: DataFrame, batch_id: int, root: str, domains: Iterable[Domain], at: Column | None, writer: str = "batch"
+) -> None:
     """Write one micro-batch of (topic, value) messages to the bronze folders of its domains.
 
-    The micro-batch is kept while the domains are written, so the source is read once. A folder per batch id
-    makes a replay overwrite its own rows instead of appending them again.
+    The micro-batch is kept while the domains are written, so the source is read once. A folder per writer and batch id
+    makes a replay overwrite its own rows instead of appending them again, and no other writer's rows.
     """
-    messages = messages.persist()
+    domains = list(domains)
+    messages = messages.filter(F.col("topic").isin(*[d.name for d in domains])).persist()
     try:
-        present = {r[0] for r in messages.select("topic").distinct().limit(len(DOMAINS) + 1).collect()}
+        present = {r[0] for r in messages.select("topic").distinct().collect()}  # at most one per domain
         for domain in domains:
             if domain.name in present:
                 rows = parse_json_events(messages.filter(F.col("topic") == domain.name), domain.schema)
                 rows = conform(stamp_ingested_at(rows, at, "second"), domain.schema)
-                target = f"{root}/{domain.name}/batch_id={batch_id}"
+                target = f"{root}/{domain.name}/batch_id={writer}-{batch_id}"
                 with_ingest_day(rows).write.mode("overwrite").partitionBy(INGEST_DAY).parquet(target)
     finally:
         messages.unpersist()
@@ -73,13 +77,20 @@ def fanout_bronze(
     wanted = {d.name: d for d in domains}
     return (
         messages.filter(F.col("topic").isin(*wanted))
-        .writeStream.foreachBatch(lambda df, n: fanout_batch(df, n, root, wanted.values(), at))
+        .writeStream.foreachBatch(
+            lambda df, n: fanout_batch(df, n, root, wanted.values(), at, writer_id(df.sparkSession, checkpoint))
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a stream keeps in its checkpoint folder: the same after a restart, another one for a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def read_fanout(spark: SparkSession, root: str, domain: Domain) -> DataFrame:
     """The bronze table of a domain written by ``fanout_bronze``; typed and empty before its first message."""
     folder = f"{root}/{domain.name}"

@@ -13,6 +13,7 @@ from ..functions.hashing import row_hash
 from ..operators.silver import silver
 from ..operators.staging import stage_events
 from ..sources.tables import UpsertTable
+from .ingest import writer_id
 
 
 def stream_upsert_latest(
@@ -25,11 +26,13 @@ def stream_upsert_latest(
 ) -> StreamingQuery:
     """Stage, clean and upsert every micro-batch; the checkpoint takes the place of the ingestion-time bound.
 
-    The batch id names the batch in the table, so a repeated micro-batch replaces itself.
+    The batch id names the batch in the table, so a repeated micro-batch replaces itself. A batch of that id from another
+    writer, such as a stream with another checkpoint, is refused.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(silver(stage_events(batch, staged_at), domain), batch_id)
+        writer = writer_id(batch.sparkSession, checkpoint)
+        table.write_batch(silver(stage_events(batch, staged_at), domain), batch_id, writer)
         if compact_every and table.pending() >= compact_every:
             table.compact()
 
@@ -54,8 +57,10 @@ def drop_replays(rows: DataFrame, within: str = "1 day", parts: int = 32) -> Dat
     if not rows.isStreaming:
         return hashed.dropDuplicates(["content_hash"])
     shared = hashed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
-    few = shared.withWatermark("ingested_at", within).dropDuplicatesWithinWatermark(["content_hash", "_part"])
-    return few.drop("_part").dropDuplicatesWithinWatermark(["content_hash"])
+    # The watermark runs on the time of arrival, so no row is ever late and dropped for it.
+    shared = shared.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    few = shared.dropDuplicatesWithinWatermark(["content_hash", "_part"])
+    return few.drop("_part").dropDuplicatesWithinWatermark(["content_hash"]).drop("_arrived")
 
 
 def stream_replay_dedup(rows: DataFrame, path: str, checkpoint: str, within: str = "1 day") -> StreamingQuery:

@@ -136,7 +136,7 @@ def test_dense_funnel_and_timeline_show_missing_entries(spark):
 def test_orders_and_top_k(spark, deals):
     loaded = report.load_opportunities(deals.unionByName(deals.limit(1).withColumn("stage", F.lit("Other")))).collect()
     ranks = [sales.STAGE_ORDER.index(r.stage) if r.stage in sales.STAGE_ORDER else 99 for r in loaded]
-    assert ranks == sorted(ranks) and ranks[-1] == 99
+    assert ranks == sorted(ranks) and ranks[-1] == 99 and loaded[-1].stage is None
     mart = gold.conversion(deals, "agent")
     top = [(r.win_rate_pct, r.agent) for r in report.top_agents(mart).collect()]
     assert top == sorted(top, key=lambda p: (-p[0], p[1])) and len(top) == 10

@@ -48,7 +48,8 @@ def test_fanout_splits_by_topic_and_a_replayed_batch_replaces_itself(spark, tmp_
     stream = message_stream(spark, "parquet", df.schema, path=str(tmp_path / "in"))
     root = str(tmp_path / "bronze")
     ingest.fanout_bronze(stream, root, str(tmp_path / "state")).awaitTermination()
-    ingest.fanout_batch(df, 0, root, DOMAINS.values(), None)
+    writer = ingest.writer_id(spark, str(tmp_path / "state"))
+    ingest.fanout_batch(df, 0, root, DOMAINS.values(), None, writer)
     assert ingest.read_fanout(spark, root, CRM).count() == 2
     fraud = ingest.read_fanout(spark, root, DOMAINS["fraud"]).first()
     assert (fraud.event_id, fraud.risk_score, fraud.fraud_flag) == ("e", 0.5, True) and fraud.ingested_at.microsecond == 0
