@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+# A slice and its last text stay under 2 MiB as a rule, so the arrays of a task stay under some 16 MB each.
+SLICE_BYTES = 7 << 18
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
