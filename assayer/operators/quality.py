@@ -110,7 +110,7 @@ def dq_payload_metadata(events: DataFrame) -> DataFrame:
 
 
 def dq_rate_bounds(mart: DataFrame) -> DataFrame:
-    """Groups whose won and lost deals exceed their deals."""
+    """Groups of a conversion mart whose won and lost deals exceed their deals."""
     return mart.filter(closed_above_total())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import DOMAINS, Domain
 from ..functions.cleaning import lower_text, safe_date, safe_timestamp, text, upper_text
-from ..functions.hashing import row_json
+from ..functions.hashing import row_hash, row_json
 from ..sources.files import INGEST_DAY
 
 EPOCH_FLOOR = "1900-01-01 00:00:00"
@@ -82,8 +82,20 @@ def event_payload(staged: DataFrame, domain: str) -> DataFrame:
     )
 
 
+def distinct_events(staged: DataFrame) -> DataFrame:
+    """One staged row per distinct source row, the last staged one.
+
+    The row hash stands for all source columns, ``ingested_at`` among them, so grouping by the columns themselves
+    gives the same rows as ranking the copies of a hash. It needs no sort, and only the rows that are left are
+    rendered and hashed. Zeros of either sign count as equal, as they do in any grouping.
+    """
+    columns = [c for c in staged.columns if c not in ("row_hash", "staged_at")]
+    rows = staged.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.max("staged_at").alias("staged_at"))
+    return rows.select(row_hash(columns).alias("row_hash"), "staged_at", *[F.col(f"`{c}`") for c in columns])
+
+
 def event_index(staged: DataFrame) -> DataFrame:
-    """Opaque silver rows without their payload: one per row hash.
+    """Opaque silver rows without their payload, from rows that carry their hash: one per row hash.
 
     The hash covers ``ingested_at``, so all copies of a row agree in it and two maxima give the latest copy. A
     hash aggregate does this without the sort that ranking needs.
@@ -120,10 +132,6 @@ def latest_customer(df: DataFrame) -> DataFrame:
     )
 
 
-def latest_event(df: DataFrame, key: str) -> DataFrame:
-    return latest(df, key, _newest_first("ingested_at", "staged_at"))
-
-
 def silver(staged: DataFrame, domain: Domain) -> DataFrame:
     """The silver rows of one staged batch."""
     if domain.name == "booking":
@@ -133,7 +141,7 @@ def silver(staged: DataFrame, domain: Domain) -> DataFrame:
     if domain.name == "customer":
         return latest_customer(clean_customers(staged))
     # Copies are dropped before the payload is written out: the columns are smaller than their JSON.
-    return event_payload(latest_event(staged, "row_hash"), domain.name)
+    return event_payload(distinct_events(staged), domain.name)
 
 
 def ingestion_bound(target: DataFrame) -> Column:

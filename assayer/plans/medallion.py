@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
@@ -14,8 +14,9 @@ from ..operators import gold, quality
 from ..operators.silver import incremental_filter, silver
 from ..operators.staging import stage_events
 from ..operators.volumes import table_volumes
-from ..sources.files import child_names, conform, overwrite_table
+from ..sources.files import child_names, conform, materialize_all, overwrite_table
 from ..sources.tables import UpsertTable
+from .adhoc import named_views, register_views
 from .checks import full_report
 
 # Fixed value: models that run at the same time.
@@ -55,9 +56,13 @@ def run_silver(
         list(pool.map(refresh, domains))
 
 
-def gold_models(spark: SparkSession, root: str, as_of: date | str) -> dict[str, DataFrame]:
-    """All twelve gold relations over the silver tables under ``root``."""
-    rows = {name: silver_table(spark, root, d).read() for name, d in DOMAINS.items()}
+def stored_silver(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The silver tables under ``root`` as they are now."""
+    return {name: silver_table(spark, root, d).read() for name, d in DOMAINS.items()}
+
+
+def gold_models(rows: Mapping[str, DataFrame], as_of: date | str) -> dict[str, DataFrame]:
+    """All twelve gold relations over the given silver tables."""
     opportunities = gold.dashboard_opportunities(rows["crm"], as_of)
     models = {
         "dashboard_opportunities": opportunities,
@@ -73,9 +78,16 @@ def gold_models(spark: SparkSession, root: str, as_of: date | str) -> dict[str,
     return models
 
 
-def run_gold(spark: SparkSession, root: str, as_of: date | str) -> dict[str, DataFrame]:
-    """Rebuild the gold tables; the two date-dependent relations stay views."""
-    models = gold_models(spark, root, as_of)
+def run_gold(
+    spark: SparkSession, root: str, as_of: date | str, rows: Mapping[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Rebuild the gold tables; the two date-dependent relations stay views.
+
+    ``rows`` are silver tables read before, so that a run merges each of them once. The views users query stand on the
+    stored tables, not on these copies.
+    """
+    stored = gold_models(stored_silver(spark, root), as_of)
+    models = stored if rows is None else gold_models(rows, as_of)
 
     def rebuild(name: str) -> None:
         overwrite_table(models[name], f"{root}/gold/{name}")
@@ -83,9 +95,9 @@ def run_gold(spark: SparkSession, root: str, as_of: date | str) -> dict[str, Dat
     tables = [name for name in models if name not in VIEWS]
     with ThreadPoolExecutor(PARALLEL_MODELS) as pool:
         list(pool.map(rebuild, tables))
-    for name in VIEWS:
-        models[name].createOrReplaceTempView(name)
-    return {n: df if n in VIEWS else spark.read.parquet(f"{root}/gold/{n}") for n, df in models.items()}
+    kept = {n: spark.read.parquet(f"{root}/gold/{n}") for n in tables}
+    register_views(named_views({n: stored[n] if n in VIEWS else kept[n] for n in models}))
+    return {n: models[n] if n in VIEWS else kept[n] for n in models}
 
 
 def run_metrics(spark: SparkSession, root: str, models: dict[str, DataFrame], run_id: int, run_at: datetime | str):
@@ -136,10 +148,16 @@ def anomaly_report(spark: SparkSession, root: str, run_id: int) -> DataFrame:
     return quality.dq_report(found)
 
 
-def run_checks(spark: SparkSession, root: str, models: dict[str, DataFrame], run_id: int) -> None:
+def run_checks(
+    spark: SparkSession,
+    root: str,
+    staged: Mapping[str, DataFrame],
+    rows: Mapping[str, DataFrame],
+    models: dict[str, DataFrame],
+    run_id: int,
+) -> None:
     """Store the outcome of every declared check and monitor on this run's tables."""
-    rows = {name: silver_table(spark, root, d).read() for name, d in DOMAINS.items()}
-    report = quality.dq_report([full_report(rows, models), anomaly_report(spark, root, run_id)])
+    report = quality.dq_report([full_report(staged, rows, models), anomaly_report(spark, root, run_id)])
     report.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_report/run_id={run_id}")
 
 
@@ -156,9 +174,13 @@ def medallion_run(
     ``run_id`` must grow from run to run. Repeating one is safe: it replaces its own silver batch.
     """
     run_silver(spark, bronze, root, run_id, staged_at)
-    models = run_gold(spark, root, as_of)
+    rows = stored_silver(spark, root)
+    # Typed tables feed several marts and checks: base and log are merged once and written.
+    rows |= materialize_all({n: rows[n] for n in DOMAINS if DOMAINS[n].typed}, "merged")
+    models = run_gold(spark, root, as_of, rows)
     run_metrics(spark, root, models, run_id, staged_at)
-    run_checks(spark, root, models, run_id)
-    tables = {f"silver.{n}": silver_table(spark, root, d).read() for n, d in DOMAINS.items()}
+    staged = {n: stage_events(conform(bronze(n), d.schema), staged_at) for n, d in DOMAINS.items()}
+    run_checks(spark, root, staged, rows, models, run_id)
+    tables = {f"silver.{n}": df for n, df in rows.items()}
     tables |= {f"gold.{n}": df for n, df in models.items()}
     return table_volumes(tables)

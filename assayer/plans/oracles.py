@@ -10,7 +10,7 @@ from ..catalogue import DOMAINS, MONITORS, OPAQUE
 from ..functions import sales
 from ..functions.hashing import NULL_KEY
 from ..operators import volumes
-from .bindings import AS_OF, BINDINGS, SPLIT_AT, STAGED_AT, TABLES
+from .bindings import AS_OF, BINDINGS, REPORTED, SPLIT_AT, STAGED_AT, TABLES
 from .checks import AMOUNTS, REQUIRED
 
 STAGED = f"TIMESTAMP '{STAGED_AT}'"
@@ -162,6 +162,15 @@ for _name in OPAQUE:
 CTES["opp"] = OPPORTUNITIES
 CTES["by_agent"] = _conversion("agent")
 CTES["by_product"] = _conversion("product")
+CTES["rep_agent"] = REPORTED["agent"].format(events="events")
+CTES["rep_product"] = REPORTED["product"].format(events="events")
+# Mart name → (key, relation).
+MARTS = {
+    "by_agent": ("agent", "by_agent"),
+    "by_product": ("product", "by_product"),
+    "reported_by_agent": ("agent", "rep_agent"),
+    "reported_by_product": ("product", "rep_product"),
+}
 CTES["by_stage"] = """SELECT stage, count(*) AS total_opportunities, sum(value) AS total_value,
     avg(value) AS avg_opportunity_value, avg(days_since_update) AS avg_days_since_update,
     count(*) FILTER (is_stale) AS stale_opportunities FROM opp GROUP BY stage"""
@@ -366,6 +375,9 @@ def _build() -> dict[str, str]:
         "SELECT region, count(*) AS overdue, round(sum(value), 2) AS overdue_value FROM opp "
         "WHERE days_until_expected_close < 0 GROUP BY region"
     )
+    q["adhoc_sql_marts"] = """SELECT 'bookings' AS subject, count(*) AS records FROM slv_booking
+        UNION ALL SELECT 'customers', count(*) FROM slv_customer
+        UNION ALL SELECT 'partner', count(*) FROM dst_partner UNION ALL SELECT 'agency', count(*) FROM dst_agency"""
 
     # Projections
     q["stage_events"] = "SELECT * FROM stg_crm"
@@ -541,26 +553,48 @@ def _build() -> dict[str, str]:
     )
     q["dq_travel_dates"] = "SELECT * FROM slv_booking WHERE travel_end_date < travel_start_date"
     q["dq_won_lte_total"] = " UNION ALL ".join(
-        f"SELECT {by} AS entity, won_opportunities, total_opportunities FROM by_{by} "
-        "WHERE won_opportunities > total_opportunities" for by in ("agent", "product")
+        f"SELECT {by} AS entity, CAST(won_opportunities AS BIGINT) AS won_opportunities, "
+        f"CAST(total_opportunities AS BIGINT) AS total_opportunities FROM {mart} "
+        "WHERE won_opportunities > total_opportunities" for by, mart in MARTS.values()
     )
     q["dq_email_format"] = """SELECT * FROM slv_customer WHERE email IS NOT NULL
         AND NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')"""
-    q["dq_payload_json"] = """SELECT 'documents' AS model_name, text AS event_payload FROM documents
-        WHERE text IS NULL OR NOT json_valid(text)"""
-    q["dq_payload_metadata"] = """SELECT event_id, props AS event_payload FROM events
-        WHERE NOT json_valid(props) OR json_extract_string(props, '$.ingested_at') IS NULL
-            OR json_extract_string(props, '$.staged_at') IS NULL"""
-    q["dq_rate_bounds"] = (
-        "SELECT agent, won_opportunities, lost_opportunities, total_opportunities FROM by_agent "
-        "WHERE won_opportunities + lost_opportunities > total_opportunities"
+    q["dq_payload_json"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS model_name, {column} AS event_payload FROM {relation} "
+        f"WHERE {column} IS NULL OR NOT json_valid({column})"
+        for name, column, relation in (
+            ("documents", "text", "documents"),
+            ("events", "props", "events"),
+            *[(n, "event_payload", f"slv_{n}") for n in OPAQUE],
+        )
+    )
+    two_keys = [f for f in _fields("support") if f[0] in ("ticket_id", "ingested_at")]
+    payloads = {
+        "events": "SELECT props AS p FROM events",
+        "bronze": f"SELECT {_json_object(two_keys)} AS p FROM brz_support",
+        "support": "SELECT event_payload AS p FROM slv_support",
+    }
+    q["dq_payload_metadata"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS model_name, p AS event_payload FROM ({sql}) WHERE NOT json_valid(p) "
+        "OR json_extract_string(p, '$.ingested_at') IS NULL OR json_extract_string(p, '$.staged_at') IS NULL"
+        for name, sql in payloads.items()
     )
-    q["dq_conversion_invariants"] = """SELECT count(*) FILTER (agent IS NULL) AS key_null,
-        CAST(0 AS BIGINT) AS key_not_unique, count(*) FILTER (total_opportunities <= 0) AS total_not_positive,
+    counts = [f"CAST({c}_opportunities AS BIGINT) AS {c}_opportunities" for c in ("won", "lost", "total")]
+    q["dq_rate_bounds"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS mart, {by} AS entity, {', '.join(counts)} FROM {mart} "
+        "WHERE won_opportunities + lost_opportunities > total_opportunities" for name, (by, mart) in MARTS.items()
+    )
+    q["dq_conversion_invariants"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS mart, CAST(count(*) FILTER ({by} IS NULL) > 0 AS BIGINT) AS key_null,
+        (SELECT count(*) FROM (SELECT {by} FROM {mart} WHERE {by} IS NOT NULL GROUP BY 1 HAVING count(*) > 1))
+            AS key_not_unique,
+        count(*) FILTER (total_opportunities <= 0) AS total_not_positive,
         count(*) FILTER (win_rate_pct IS NULL) AS rate_null,
         count(*) FILTER (win_rate_pct < 0 OR win_rate_pct > 100) AS rate_out_of_bounds,
         count(*) FILTER (won_opportunities > total_opportunities) AS won_above_total,
-        count(*) FILTER (lost_opportunities > total_opportunities) AS lost_above_total FROM by_agent"""
+        count(*) FILTER (lost_opportunities > total_opportunities) AS lost_above_total FROM {mart}"""
+        for name, (by, mart) in MARTS.items()
+    )
     q["dq_volume_anomaly"] = _score("daily", "table_name")
     q["dq_column_anomaly"] = _score("daily_columns", "table_name, column_name, metric")
     q["dq_schema_change"] = """SELECT column_name, old_type, new_type, change FROM (
@@ -574,10 +608,10 @@ def _build() -> dict[str, str]:
         [*_typed_checks("booking"), *_typed_checks("crm"), *_typed_checks("customer"), *_opportunity_checks(known)]
         + [row for by in ("agent", "product") for row in _conversion_checks(by)]
     )
-    q["dq_opaque_report"] = " UNION ALL ".join(row for n in MONITORS["engagement"] for row in _opaque_checks(n))
+    q["dq_opaque_report"] = " UNION ALL ".join(row for n in OPAQUE for row in _opaque_checks(n))
     q["dq_staging_report"] = " UNION ALL ".join(
         _count(f"not_null:{c}", f"staging.{n}", f"stg_{n}", f"{c} IS NULL")
-        for n in ("booking", "crm", "customer") for c in ("row_hash", "staged_at")
+        for n in DOMAINS for c in ("row_hash", "staged_at")
     )
     q["dq_volume_bands"] = f"""SELECT table_name, row_count, CASE WHEN row_count >= {volumes.OK_ROWS} THEN 'OK'
         WHEN row_count >= {volumes.MEDIUM_ROWS} THEN 'MED' ELSE 'LOW' END AS status FROM volumes"""

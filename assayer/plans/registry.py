@@ -11,17 +11,18 @@ from pyspark.sql import types as T
 
 from ..catalogue import CRM_REQUIRED, DOMAINS, MONITORS, OPAQUE
 from ..functions import sales
-from ..functions.hashing import surrogate_key
+from ..functions.hashing import row_json, surrogate_key
 from ..operators import charts, gold, quality, report, volumes
 from ..operators import silver as sv
+from ..operators.staging import stage_events
 from ..session import apply_semantics, scratch_dir
 from ..sources import files, messages
 from ..sources.tables import UpsertTable
 from ..streaming import ingest, upsert
 from . import bindings as b
 from . import checks
-from .adhoc import adhoc_sql, gold_views
-from .medallion import medallion_run
+from .adhoc import adhoc_sql, gold_views, named_views
+from .medallion import gold_models, medallion_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,6 +157,14 @@ def _adhoc(spark: SparkSession, sf: str) -> DataFrame:
     return adhoc_sql(spark, sql, gold_views(b.opportunities(spark, sf)))
 
 
+def _adhoc_marts(spark: SparkSession, sf: str) -> DataFrame:
+    """One statement over marts of three subjects."""
+    sql = """SELECT 'bookings' AS subject, sum(total_bookings) AS records FROM gld_booking_overview
+        UNION ALL SELECT 'customers', sum(total_customers) FROM gld_customer_overview
+        UNION ALL SELECT domain, total_events FROM gld_partner_event_monitor WHERE total_events > 0"""
+    return adhoc_sql(spark, sql, named_views(gold_models(b.all_silver(spark, sf), b.AS_OF)))
+
+
 def _sorted(opportunities: DataFrame) -> DataFrame:
     rank = sales.stage_rank(F.col("stage")).alias("stage_rank")
     return report.sort_by_stage_order(opportunities).select("opportunity_id", "stage", rank)
@@ -273,25 +282,52 @@ def _not_null(opportunities: DataFrame) -> DataFrame:
 
 def _timestamp_order(spark: SparkSession, sf: str) -> DataFrame:
     """All opaque domains, staged before the newest events came in."""
-    rows = {n: quality.dq_timestamp_order(b.opaque_index(spark, sf, n, b.SPLIT_AT)) for n in OPAQUE}
+    wrong = {n: quality.dq_timestamp_order(stage_events(b.bronze(spark, sf, n), b.SPLIT_AT)) for n in OPAQUE}
+    rows = {n: sv.distinct_events(df) for n, df in wrong.items()}
     return gold.tagged_union(rows, "domain", "ingested_at", "staged_at")
 
 
-def _won_lte_total(opportunities: DataFrame) -> DataFrame:
-    return quality.dq_won_lte_total(gold.conversion(opportunities, "agent"), gold.conversion(opportunities, "product"))
+def _conversion_marts(spark: SparkSession, sf: str) -> dict[str, tuple[str, DataFrame]]:
+    """Our two conversion marts, which cannot break a rule, and two reported ones, which do: name → (key, mart)."""
+    deals = b.opportunities(spark, sf)
+    marts = {f"by_{by}": (by, gold.conversion(deals, by)) for by in ("agent", "product")}
+    return marts | {f"reported_by_{by}": (by, b.reported_mart(spark, sf, by)) for by in ("agent", "product")}
+
+
+def _won_lte_total(spark: SparkSession, sf: str) -> DataFrame:
+    marts = {name: mart for name, (_, mart) in _conversion_marts(spark, sf).items()}
+    ours = quality.dq_won_lte_total(marts["by_agent"], marts["by_product"])
+    return ours.unionByName(quality.dq_won_lte_total(marts["reported_by_agent"], marts["reported_by_product"]))
+
+
+def _rate_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    counts = ("won_opportunities", "lost_opportunities", "total_opportunities")
+    wrong = {
+        name: quality.dq_rate_bounds(mart).withColumnRenamed(key, "entity")
+        for name, (key, mart) in _conversion_marts(spark, sf).items()
+    }
+    return gold.tagged_union(wrong, "mart", "entity", *counts)
+
+
+def _conversion_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    found = {n: quality.dq_conversion_invariants(mart, key) for n, (key, mart) in _conversion_marts(spark, sf).items()}
+    return gold.tagged_union(found, "mart", *found["by_agent"].columns)
 
 
 def _payload_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The valid payloads of two opaque domains next to prose that is no payload."""
+    """The payloads of all opaque domains, properties that are JSON, and prose that is none."""
     prose = b.table(spark, sf, "documents").select(F.col("text").alias("event_payload"))
-    opaque = {n: b.silver_rows(spark, sf, n) for n in ("support", "review")}
-    return quality.dq_payload_json({"documents": prose, **opaque})
+    props = b.table(spark, sf, "events").select(F.col("props").alias("event_payload"))
+    opaque = {n: b.silver_rows(spark, sf, n) for n in OPAQUE}
+    return quality.dq_payload_json({"documents": prose, "events": props, **opaque})
 
 
 def _payload_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid JSON that lacks both times."""
-    props = b.table(spark, sf, "events").select("event_id", F.col("props").alias("event_payload"))
-    return quality.dq_payload_metadata(props)
+    """JSON that lacks both times, JSON that lacks one of them, and payloads that have both."""
+    props = b.table(spark, sf, "events").select(F.col("props").alias("event_payload"))
+    unstaged = b.bronze(spark, sf, "support").select(row_json(["ticket_id", "ingested_at"]).alias("event_payload"))
+    whole = {"support": b.silver_rows(spark, sf, "support")}
+    return quality.dq_payload_metadata(gold.tagged_union({"events": props, "bronze": unstaged, **whole}, "model_name", "event_payload"))
 
 
 def _volume_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,19 +373,12 @@ def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _staging_report(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.dq_report([checks.staging_report(b.staged(spark, sf, n), n) for n in ("booking", "crm", "customer")])
+    return quality.dq_report([checks.staging_report(b.staged(spark, sf, n), n) for n in DOMAINS])
 
 
 def _opaque_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The checks of the engagement domains, all at once."""
-    names = MONITORS["engagement"]
-    return checks.opaque_report({n: b.silver_rows(spark, sf, n) for n in names})
-
-
-def _rate_bounds(opportunities: DataFrame) -> DataFrame:
-    return quality.dq_rate_bounds(gold.conversion(opportunities, "agent")).select(
-        "agent", "won_opportunities", "lost_opportunities", "total_opportunities"
-    )
+    """The checks of all opaque domains, all at once."""
+    return checks.opaque_report(files.materialize_all({n: b.silver_rows(spark, sf, n) for n in OPAQUE}, "opaque"))
 
 
 def _chart_win_rate(by: str) -> Query:
@@ -371,6 +400,7 @@ QUERIES: dict[str, Query] = {
         lambda o: files.json_records(o.select(*gold.OPPORTUNITY_COLUMNS))
     ),
     "adhoc_sql": _adhoc,
+    "adhoc_sql_marts": _adhoc_marts,
     # Projections and filters
     "stage_events": _staged("crm"),
     "clean_bookings": lambda s, d: sv.clean_bookings(b.staged(s, d, "booking")),
@@ -480,17 +510,17 @@ QUERIES: dict[str, Query] = {
     "dq_column_anomaly": lambda s, d: _scored(quality.dq_column_anomaly(_column_history(s, d))),
     "dq_timestamp_order": _timestamp_order,
     "dq_travel_dates": lambda s, d: quality.dq_travel_dates(b.silver_rows(s, d, "booking")),
-    "dq_won_lte_total": _on_opportunities(_won_lte_total),
+    "dq_won_lte_total": _won_lte_total,
     "dq_email_format": lambda s, d: quality.dq_email_format(b.silver_rows(s, d, "customer")),
     "dq_payload_json": _payload_json,
     "dq_payload_metadata": _payload_metadata,
-    "dq_rate_bounds": _on_opportunities(_rate_bounds),
+    "dq_rate_bounds": _rate_bounds,
     "dq_report": _dq_report,
     "dq_opaque_report": _opaque_report,
     "dq_staging_report": _staging_report,
     "dq_volume_bands": _on_volumes(volumes.volume_bands),
     "volume_band_totals": _on_volumes(lambda v: volumes.volume_band_totals(volumes.volume_bands(v))),
-    "dq_conversion_invariants": _on_conversion("agent", lambda m: quality.dq_conversion_invariants(m, "agent")),
+    "dq_conversion_invariants": _conversion_invariants,
 }
 
 

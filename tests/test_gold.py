@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import sales
 from assayer.operators import charts, gold, report, volumes
-from assayer.plans.adhoc import adhoc_sql, gold_views
+from assayer.plans.adhoc import adhoc_sql, gold_views, named_views
 
 DAY = dt.date(2024, 1, 31)
 OPP = (
@@ -195,3 +195,11 @@ def test_volumes_bands_and_deficit(spark):
     assert [tuple(r) for r in deficit.collect()] == [
         ("d", 0, 70_000, 70), ("b", 50_000, 20_000, 20), ("c", 69_999, 1, 1), ("a", 90_000, 0, 0)]
     assert tuple(volumes.deficit_totals(deficit).first()) == (90_001, 70, 140)
+
+
+def test_named_views_cover_all_gold_relations(spark):
+    names = ["dashboard_opportunities", "opportunities_by_stage", "booking_overview", "risk_event_monitor"]
+    views = named_views({n: spark.range(1) for n in names})
+    assert list(views) == ["gld_dashboard_opportunities", "gld_pipeline_by_stage", "gld_booking_overview",
+                           "gld_risk_event_monitor"]
+    assert adhoc_sql(spark, "SELECT count(*) AS n FROM gld_booking_overview", views).first().n == 1

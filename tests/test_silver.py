@@ -157,3 +157,21 @@ def test_table_compacts_only_when_it_pays(spark, tmp_path):
     table.write_batch(big.limit(9_000), 8)  # one batch, but too large to merge at every read
     table.compact_if_worth()
     assert table.folded(8)
+
+
+def test_distinct_events_equal_one_row_per_hash(spark):
+    rows = [("e1", 1.0), ("e1", 1.0), ("e1", None), ("e1", None), (None, None), ("e2", 1.0)]
+    bronze = conform(spark.createDataFrame(rows, "event_id string, risk_score double"), DOMAINS["fraud"].schema)
+    staged = stage_events(bronze, AT)
+    kept = sv.distinct_events(staged)
+    assert kept.columns == staged.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, staged.dropDuplicates(["row_hash"]).collect()))
+    later = sv.distinct_events(staged.unionByName(stage_events(bronze, "2024-03-01 00:00:00")))
+    assert later.count() == 4 and later.select("staged_at").distinct().count() == 1
+
+
+def test_opaque_silver_hashes_after_the_shuffle_without_sort(spark):
+    rows = conform(spark.createDataFrame([("e1",)], "event_id string"), DOMAINS["fraud"].schema)
+    plan = sv.silver(stage_events(rows, AT), DOMAINS["fraud"])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan
+    assert "md5" not in plan[plan.index("Exchange"):]
