@@ -357,8 +357,10 @@ def _build() -> dict[str, str]:
     )
     q["append_bronze"] = "SELECT * FROM brz_booking"
     q["fanout_bronze"] = " UNION ALL ".join(
-        f"SELECT '{n}' AS domain, count(*) AS total_events, count(DISTINCT {c}) AS keys FROM brz_{n}"
-        for n, c in (("booking", "booking_id"), ("crm", "opportunity_id"), ("fraud", "event_id"), ("support", "ticket_id"))
+        [f"SELECT '{n}' AS domain, {_json_object([f for f in _fields(n) if f[0] != 'ingested_at'])} AS row, "
+         f"CAST(NULL AS VARCHAR) AS reject_reason FROM brz_{n}" for n in DOMAINS]
+        + ["SELECT 'review', text, 'not a JSON object' FROM documents",
+           "SELECT 'telemetry', props, 'unknown topic' FROM events"]
     )
     q["add_column_if_missing"] = "SELECT *, CAST(NULL AS TIMESTAMP) AS ingested_at FROM supplier"
     q["scan_source"] = "SELECT event_id, ts, user_id, event_type, value, props FROM events"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..catalogue import CRM_REQUIRED, DOMAINS, MONITORS, OPAQUE
 from ..functions import sales
-from ..functions.hashing import row_json, surrogate_key
+from ..functions.hashing import JSON_OPTIONS, row_json, surrogate_key
 from ..operators import charts, gold, quality, report, volumes
 from ..operators import silver as sv
 from ..operators.staging import stage_events
@@ -29,7 +30,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 CRM = DOMAINS["crm"]
 CRM_MESSAGE = T.StructType([f for f in CRM.schema if f.name != "ingested_at"])
 STAMP = datetime(2024, 1, 31, 12, 0, 0, 123456)
-FANOUT = ("booking", "crm", "fraud", "support")
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -126,22 +126,26 @@ def _append(spark: SparkSession, sf: str) -> DataFrame:
 
 def _topic_messages(spark: SparkSession, sf: str, domain: str) -> DataFrame:
     rows = b.bronze(spark, sf, domain).drop("ingested_at")
-    return rows.select(F.lit(domain).alias("topic"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.select(F.lit(domain).alias("topic"), F.to_json(F.struct("*"), JSON_OPTIONS).alias("value"))
 
 
 def _fanout(spark: SparkSession, sf: str) -> DataFrame:
     landing, root, state = (scratch_dir(spark, f"fanout-{part}") for part in ("landing", "bronze", "state"))
-    for name in FANOUT:
-        _topic_messages(spark, sf, name).write.mode("append").parquet(landing)
+    sent = [_topic_messages(spark, sf, name) for name in DOMAINS]
+    # Prose sent to a known topic and properties sent to an unknown one.
+    sent.append(b.table(spark, sf, "documents").select(F.lit("review").alias("topic"), F.col("text").alias("value")))
+    sent.append(b.table(spark, sf, "events").select(F.lit("telemetry").alias("topic"), F.col("props").alias("value")))
+    reduce(DataFrame.unionByName, sent).write.parquet(landing)
     stream = messages.message_stream(spark, "parquet", "topic string, value string", path=landing)
     ingest.fanout_bronze(stream, root, state).awaitTermination()
-    keys = {"booking": "booking_id", "crm": "opportunity_id", "fraud": "event_id", "support": "ticket_id"}
-    read = {n: ingest.read_fanout(spark, root, DOMAINS[n]).select(F.col(k).alias("key")) for n, k in keys.items()}
-    return (
-        gold.tagged_union(read, "domain", "key")
-        .groupBy("domain")
-        .agg(F.count("*").alias("total_events"), F.count_distinct("key").alias("keys"))
-    )
+    # Whole rows but for the stamp, as text: the column lists differ.
+    read = {
+        n: ingest.read_fanout(spark, root, d).select(row_json([c for c in d.schema.names if c != "ingested_at"]).alias("row"))
+        for n, d in DOMAINS.items()
+    }
+    placed = gold.tagged_union(read, "domain", "row").withColumn("reject_reason", F.lit(None).cast("string"))
+    rest = ingest.read_quarantine(spark, root)
+    return placed.unionByName(rest.select(F.col("topic").alias("domain"), F.col("value").alias("row"), "reject_reason"))
 
 
 def _scan(spark: SparkSession, sf: str) -> DataFrame:

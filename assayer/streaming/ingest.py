@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..catalogue import DOMAINS, Domain
+from ..catalogue import CRM_REQUIRED, DOMAINS, Domain
 from ..sources.files import INGEST_DAY, conform, path_exists, scan_source, with_ingest_day
 from ..sources.messages import parse_json_events, rejected_messages, stamp_ingested_at
 
+QUARANTINE = "quarantine"
+
 
 def stream_ingest(
     messages: DataFrame,
@@ -50,18 +53,28 @@ def fanout_batch(
     """Write one micro-batch of (topic, value) messages to the bronze folders of its domains.
 
     The micro-batch is kept while the domains are written, so the source is read once. A folder per writer and batch id
-    makes a replay overwrite its own rows instead of appending them again, and no other writer's rows.
+    makes a replay overwrite its own rows instead of appending them again, and no other writer's rows. CRM messages need
+    all their keys and are stamped to the microsecond, the others to the second. What is not written to a domain goes to
+    the quarantine with its topic and reason, messages of unknown or no topic included.
     """
     domains = list(domains)
-    messages = messages.filter(F.col("topic").isin(*[d.name for d in domains])).persist()
+    names = [d.name for d in domains]
+    batch = f"batch_id={writer}-{batch_id}"
+    messages = messages.select("topic", "value").persist()
+    known = F.coalesce(F.col("topic").isin(*names), F.lit(False))
     try:
-        present = {r[0] for r in messages.select("topic").distinct().collect()}  # at most one per domain
+        present = {r[0] for r in messages.filter(known).select("topic").distinct().collect()}  # at most one per domain
+        rejects = [messages.filter(~known).withColumn("reject_reason", F.lit("unknown topic"))]
         for domain in domains:
             if domain.name in present:
-                rows = parse_json_events(messages.filter(F.col("topic") == domain.name), domain.schema)
-                rows = conform(stamp_ingested_at(rows, at, "second"), domain.schema)
-                target = f"{root}/{domain.name}/batch_id={writer}-{batch_id}"
+                required, precision = (CRM_REQUIRED, "microsecond") if domain.name == "crm" else ((), "second")
+                own = messages.filter(F.col("topic") == domain.name)
+                rows = parse_json_events(own, domain.schema, required)
+                rows = conform(stamp_ingested_at(rows, at, precision), domain.schema)
+                target = f"{root}/{domain.name}/{batch}"
                 with_ingest_day(rows).write.mode("overwrite").partitionBy(INGEST_DAY).parquet(target)
+                rejects.append(rejected_messages(own, domain.schema, required))
+        reduce(DataFrame.unionByName, rejects).write.mode("overwrite").parquet(f"{root}/{QUARANTINE}/{batch}")
     finally:
         messages.unpersist()
 
@@ -74,11 +87,10 @@ def fanout_bronze(
     at: Column | None = None,
 ) -> StreamingQuery:
     """One stream of (topic, value) messages into a typed bronze table per domain."""
-    wanted = {d.name: d for d in domains}
+    wanted = list(domains)
     return (
-        messages.filter(F.col("topic").isin(*wanted))
-        .writeStream.foreachBatch(
-            lambda df, n: fanout_batch(df, n, root, wanted.values(), at, writer_id(df.sparkSession, checkpoint))
+        messages.writeStream.foreachBatch(
+            lambda df, n: fanout_batch(df, n, root, wanted, at, writer_id(df.sparkSession, checkpoint))
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -97,3 +109,8 @@ def read_fanout(spark: SparkSession, root: str, domain: Domain) -> DataFrame:
     if not path_exists(spark, folder):
         return spark.createDataFrame([], domain.schema)
     return scan_source(spark, folder, domain.schema).drop("batch_id")
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """The messages ``fanout_bronze`` could not place: topic, value and reason."""
+    return spark.read.schema("topic string, value string, reject_reason string").parquet(f"{root}/{QUARANTINE}")

@@ -54,6 +54,8 @@ def test_fanout_splits_by_topic_and_a_replayed_batch_replaces_itself(spark, tmp_
     fraud = ingest.read_fanout(spark, root, DOMAINS["fraud"]).first()
     assert (fraud.event_id, fraud.risk_score, fraud.fraud_flag) == ("e", 0.5, True) and fraud.ingested_at.microsecond == 0
     assert ingest.read_fanout(spark, root, DOMAINS["seat"]).count() == 0
+    lost = sorted((r.topic, r.value, r.reject_reason) for r in ingest.read_quarantine(spark, root).collect())
+    assert lost == [("crm", "{bad", "not a JSON object"), ("unknown", "{}", "unknown topic")]
 
 
 def bronze(spark, rows):
