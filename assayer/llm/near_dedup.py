@@ -10,7 +10,9 @@ from the start. A node is compared with the smallest node of each of its buckets
 buckets of every two bands, where true neighbours still meet and others hardly do, and is compared with the smallest node there
 and with the smallest of those that stayed apart; pairs that links connect already are skipped. So a bucket of n texts costs n
 comparisons a step, never n squared, and hot buckets are only aggregated and joined. A comparison computes the exact
-weighted Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, classes are the connected components.
+weighted Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, classes are the connected components. Texts
+that share no bucket stay where they are: a Bloom filter of the others' nodes, of at most ``FILTER_BITS``, holds them back before
+the shuffle, and an exact join follows. Beyond some eight million such nodes more texts shuffle.
 What can be missed: a similar pair that meets in no bucket (1 in 1300 at a similarity of 0.8, fewer above), or one of which both
 are unlike the leaders of all buckets they share.
 
@@ -36,6 +38,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_NODES = 20_000
 COMMON = 1e-3
+FILTER_SLOTS, FILTER_BITS = 16, 1 << 27
+BITMAP_BITS = 8 * 4096  # bits of one bitmap of Spark's bitmap functions
 
 
 class Weights:
@@ -157,9 +161,35 @@ def _draw(weights: Weights):
     return draw
 
 
-def _number_texts(batches):
-    for part in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(_node(Words(part.column("text"), lower=True))), part.column("text")], ["node", "text"])
+def node_filter(nodes: DataFrame, count: int) -> np.ndarray:
+    """Bits of a Bloom filter of the nodes, two slots each, as bytes; at most FILTER_BITS bits."""
+    bits = BITMAP_BITS
+    while bits < min(FILTER_BITS, FILTER_SLOTS * count):
+        bits *= 2
+    slots = [x.bitwiseAND(bits - 1) for x in (F.col("node"), F.shiftright("node", 32))]
+    slots = nodes.select(F.explode(F.array(*slots)).alias("slot"))
+    blocks = slots.groupBy((F.col("slot") / BITMAP_BITS).cast("int").alias("block")).agg(
+        F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("bitmap")
+    )
+    out = np.zeros((bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for row in blocks.toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["bitmap"], np.uint8)
+    return out.ravel()
+
+
+def _number_texts(wanted: np.ndarray):
+    """Texts by node, without most of those whose node is not in the filter."""
+    last = 8 * len(wanted) - 1
+
+    def number(batches):
+        for part in slices(batches):
+            node = _node(Words(part.column("text"), lower=True))
+            hit = np.ones(len(node), bool)
+            for slot in (node & last, (node >> 32) & last):
+                hit &= (wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), part.column("text").filter(pa.array(hit))], ["node", "text"])
+
+    return number
 
 
 def _verify(weights: Weights, similarity: float):
@@ -204,10 +234,12 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
     busy = one.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("key", "leader")
     pairs = materialize(one.join(materialize(busy, "busy"), "key").select("node", "leader").distinct(), "pairs")
     wanted = materialize(pairs.select("node").distinct(), "wanted")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_number_texts, "node bigint, text string")
+    n_wanted = wanted.count()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.mapInArrow(_number_texts(node_filter(wanted, n_wanted)), "node bigint, text string")
     texts = texts.groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi")
     table = f"near_texts_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // BUCKET_NODES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_wanted // BUCKET_NODES))
     # Laid out by node once, so that the comparisons do not shuffle the texts again.
     stored = texts.write.format("parquet").bucketBy(buckets, "node").option("path", scratch_dir(spark, "texts"))
     stored.saveAsTable(table)
