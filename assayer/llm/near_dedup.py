@@ -6,15 +6,16 @@ all documents. Frequencies below ``COMMON`` of the documents count as that share
 of a document) / COMMON entries, however many documents there are; that table is broadcast.
 
 Each text draws ``BANDS * ROWS`` samples; texts that agree on all samples of a band meet in its bucket. Equal texts are one node
-from the start. A node is compared with the smallest node of each of its buckets. One that stays apart from some of these goes to the
-buckets of every two bands, where true neighbours still meet and others hardly do, and is compared with the smallest node there
-and with the smallest of those that stayed apart; pairs that links connect already are skipped. So a bucket of n texts costs n
-comparisons a step, never n squared, and hot buckets are only aggregated and joined. A comparison computes the exact
+from the start. A node is compared with the smallest node of each of its buckets. Rounds follow until every bucket is resolved: in a
+bucket whose nodes links do not connect yet, the first nodes of its smallest classes lead, meet all nodes behind them, and leave;
+each round has ``GROWTH`` times as many leaders. A pair is skipped only if links connect it already, if it was compared before, or if
+its nodes' similarities to the bucket's smallest node differ by more than a similar pair's can (one minus the similarity is a
+metric). So a bucket of near copies costs a comparison a node, while one of n texts that are alike but not similar costs up to n squared
+over two; the rounds elect and pair ids, and only the comparisons move texts. A comparison computes the exact
 weighted Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, classes are the connected components. Texts
 that share no bucket stay where they are: a Bloom filter of the others' nodes, of at most ``FILTER_BITS``, holds them back before
 the shuffle, and an exact join follows. Beyond some eight million such nodes more texts shuffle.
-What can be missed: a similar pair that meets in no bucket (1 in 1300 at a similarity of 0.8, fewer above), or one of which both
-are unlike the leaders of all buckets they share.
+What can be missed: a similar pair that meets in no bucket (1 in 1300 at a similarity of 0.8, fewer above).
 
 Null text counts as empty, and all empty texts are one class. Rows without doc_id belong to classes like others; a class is named by its
 smallest doc_id (null if it has none). Of repeated rows one is kept. Extra columns are ignored by ``near_groups``, kept by ``drop_near_copies``.
@@ -26,7 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -38,6 +39,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_NODES = 20_000
 COMMON = 1e-3
+GROWTH = 8
+SLACK = 1e-3  # far above the rounding of weights
 FILTER_SLOTS, FILTER_BITS = 16, 1 << 27
 BITMAP_BITS = 8 * 4096  # bits of one bitmap of Spark's bitmap functions
 
@@ -253,31 +256,38 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
         columns = pairs.join(texts, "node").join(other, "leader").select("node", "leader", "text", "other_text")
         return materialize(columns.mapInArrow(_verify(weights, similarity), "node bigint, leader bigint, linked boolean, similarity double"), "tested")
 
-    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """The pairs whose nodes no links connect so far."""
-        classes = materialize(components(known), "classes")
-        own = classes.select("node", F.col("component").alias("c1"))
-        theirs = classes.select(F.col("node").alias("leader"), F.col("component").alias("c2"))
-        both = pairs.join(own, "node", "left").join(theirs, "leader", "left")
-        return both.where(F.coalesce("c1", "node") != F.coalesce("c2", "leader")).select("node", "leader")
-
     def linked(rows: DataFrame) -> DataFrame:
         return rows.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
     # First each node of a bucket with the smallest of all nodes there, often the same for many buckets.
     first = tested(pairs)
     found = linked(first)
-    # Then the nodes that stayed apart from one of these, in the buckets of every two bands, where true neighbours still meet and others
-    # hardly do: with the smallest of all nodes there, and with the smallest of those that stayed apart.
-    left = materialize(apart(first.where("not linked").select("node", "leader"), found).select("node").distinct(), "left")
-    two = [F.xxhash64(F.lit(f"{i}-{j}"), F.col("bands")[i], F.col("bands")[j]) for i in range(BANDS) for j in range(i)]
-    keys_of = nodes.join(wanted, "node", "left_semi").select("node", F.explode(F.array(*two)).alias("key"))
-    own = materialize(keys_of.join(left, "node", "left_semi"), "own")
-    asked = materialize(own.groupBy("key").agg(F.min("node").alias("least")), "asked")
-    everyone = keys_of.join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("leader"))
-    leaders = materialize(everyone.union(asked).distinct(), "leaders")
-    pairs = own.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
-    found = materialize(found.union(linked(tested(materialize(apart(pairs, found), "pairs")))), "found")
+    done = first.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
+    # Then rounds over the nodes that have not led their bucket.
+    members = one.join(busy, "key").join(first, ["node", "leader"]).select("key", "node", "similarity")
+    leaders = 1
+    while True:
+        classes = materialize(components(found), "classes")
+        members = members.join(classes, "node", "left").select("key", "node", "similarity", F.coalesce("component", "node").alias("class"))
+        members = materialize(members, "members")
+        split = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+        members = members.join(materialize(split, "split"), "key", "left_semi")
+        sizes = materialize(members.groupBy("key", "class").agg(F.count("*").alias("n")), "sizes")
+        place = F.struct("n", "class", "node").alias("place")
+        members = materialize(members.join(sizes, ["key", "class"]).select("key", "node", "similarity", place), "open")
+        if members.isEmpty():
+            break
+        leaders *= GROWTH
+        first_places = F.row_number().over(Window.partitionBy("key").orderBy("place"))
+        ahead = members.withColumn("rank", first_places).where(F.col("rank") <= leaders).drop("rank")
+        ahead = materialize(ahead.toDF("key", "leader", "leader_similarity", "leader_place"), "leaders")
+        met = members.join(ahead, "key").where("place > leader_place and place.class <> leader_place.class")
+        met = met.where(F.abs(F.col("similarity") - F.col("leader_similarity")) <= 1 - similarity + SLACK)
+        met = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+        new = tested(materialize(met.join(done, ["node", "leader"], "left_anti"), "pairs"))
+        found = materialize(found.union(linked(new)), "found")
+        done = done.union(new.select("node", "leader"))
+        members = members.join(ahead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select("key", "node", "similarity")
     spark.sql(f"DROP TABLE {table}")
     return found
 

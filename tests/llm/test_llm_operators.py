@@ -69,6 +69,36 @@ def test_near_groups_agree_with_all_pairs(documents, rows):
     assert all(found[i] == i for i in shingles if i not in linked)
 
 
+def test_near_groups_find_pairs_hidden_in_a_family(shipped):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(240)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.choice(240, n, replace=False):
+            words[i] = base[rng.integers(240)]
+        return words
+
+    forms = [changed(base, 4) for _ in range(400)]
+    forms += [changed(forms[i], 4) for i in range(0, 400, 10)]
+    docs = shipped.createDataFrame([(i, " ".join(w)) for i, w in enumerate(forms)], "doc_id bigint, text string")
+    weights = near_dedup.word_weights(docs)
+    import pyarrow as pa
+
+    text, key, weight = near_dedup.shingle_sets(near_dedup.Words(pa.array([" ".join(w) for w in forms]), lower=True), weights)
+    _, column = np.unique(key, return_inverse=True)
+    table = np.zeros((len(forms), column.max() + 1))
+    table[text, column] = weight
+    label = np.arange(len(forms))
+    for i, own in enumerate(table):
+        alike = np.minimum(table, own).sum(1) / np.maximum(table, own).sum(1) >= near_dedup.SIMILARITY
+        label[np.isin(label, label[alike])] = label[alike].min()
+    wanted = [int(np.flatnonzero(label == x).min()) for x in label]
+    found = near_dedup.near_groups(docs).toPandas().set_index("doc_id").class_id
+    assert len(set(wanted)) > 100
+    assert [found[i] for i in range(len(forms))] == wanted
+
+
 def test_token_counts_before_and_after_edits(documents, rows, bpe):
     count = lambda t: len(bpe.encode(t, add_special_tokens=False).ids)
     found = token_counts.count_tokens(example_edits(documents)).toPandas().set_index("doc_id")
