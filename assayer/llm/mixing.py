@@ -5,8 +5,9 @@ the wanted share of each source, each language and each topic at once; a documen
 cell, calibrated so that the expected tokens are ``budget`` times all tokens. The draw is a hash of doc_id, so it is the same in
 every run and for every copy of a row.
 
-What reaches the driver is the cell table. It is bounded: the ``MAX_SOURCES`` sources with most tokens, and ``MAX_LABELS`` languages and
-topics, have shares of their own, the rest of each is one common category; all documents count all the same.
+Every source, language and topic has a share of its own, however many there are. A cell table of at most ``LOCAL_CELLS`` cells and
+``LOCAL_BYTES`` of names is raked on the driver and broadcast; a larger one stays distributed: the same rounds are aggregations and
+joins of it, and the documents are joined with it by a shuffle.
 
 Topics come from the text by the words of ``TOPICS``, the first topic that has one. A null source or language is a category of
 its own, null text has no tokens and keeps the probability of its cell, a null doc_id is drawn as the empty id. Cells without
@@ -19,6 +20,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ TOPICS = (
     ("technical", ("://", "password", "PASSWORD", "secret", "SECRET", "api_key", "API_KEY")),
     ("contact", ("@",)),
 )
-MAX_SOURCES, MAX_LABELS = 200, 50
+LOCAL_CELLS, LOCAL_BYTES = 100_000, 16 << 20
 DIMENSIONS = ("source", "lang", "topic")
+KEYS = [f"__{d}" for d in DIMENSIONS]
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 ROUNDS, CLOSE = 200, 1e-10
 
@@ -74,7 +77,8 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarr
     wanted = budget * tokens.sum()
     while free.any():
         left = wanted - tokens[~free].sum()
-        scale = left / (weight[free] * tokens[free]).sum()
+        mass = (weight[free] * tokens[free]).sum()
+        scale = left / mass if mass else 0.0
         p[free] = scale * weight[free]
         over = free & (p >= 1)
         if not over.any():
@@ -83,50 +87,97 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarr
     return np.clip(p, 0, 1)
 
 
-def _named(frame: DataFrame, dimension: str, most: int) -> list[str]:
-    """The categories with shares of their own: those with most tokens, ties by name."""
-    by = frame.groupBy(dimension).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), dimension).limit(most)
-    return [r[0] for r in by.collect()]
+def _category(value: str | None) -> str:
+    return "?" if value is None else f"={value}"
 
 
-def mixing_weights(docs: DataFrame, budget: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The documents with topic, tokens, weight, probability and sampled.
-
-    ``targets`` gives the wanted shares by dimension and category; a missing dimension gets shares by tokens ** ``POWERS``.
-    """
-    own = [c for c in docs.columns if c not in ("topic", "tokens", "weight", "probability", "sampled")]
-    category = lambda c: F.concat(F.when(c.isNull(), "?").otherwise("="), F.coalesce(c, F.lit("")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own])
-    rows = rows.withColumns({"topic": topic_of(F.coalesce(F.col("text"), F.lit(""))), "tokens": token_count(F.col("text"))})
-    keyed = rows.withColumns({f"__{d}": category(F.col(d)) for d in DIMENSIONS})
-    cells = materialize(
-        keyed.groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells"
-    )
-    for d in DIMENSIONS:
-        named = _named(cells, f"__{d}", MAX_SOURCES if d == "source" else MAX_LABELS)
-        pooled = F.when(F.col(f"__{d}").isin(named), F.col(f"__{d}")).otherwise("*") if named else F.lit("*")
-        cells, keyed = cells.withColumn(f"__{d}", pooled), keyed.withColumn(f"__{d}", pooled)
-    table = cells.groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens")).toPandas()
-    table = table.sort_values([f"__{d}" for d in DIMENSIONS]).reset_index(drop=True)
+def _local_weights(cells: DataFrame, budget: float, targets: dict[str, dict[str | None, float]] | None) -> DataFrame:
+    """Weight and probability of each cell, raked on the driver."""
+    table = cells.toPandas().sort_values(KEYS).reset_index(drop=True)
     tokens = table["tokens"].to_numpy(float)
     codes, wanted = np.empty((len(table), len(DIMENSIONS)), np.int64), []
     for i, d in enumerate(DIMENSIONS):
-        names, codes[:, i] = np.unique(table[f"__{d}"].to_numpy(str), return_inverse=True)
+        codes[:, i], names = pd.factorize(table[f"__{d}"], sort=True)
         have = np.bincount(codes[:, i], tokens, len(names))
         share = have ** POWERS[d] * (have > 0)
         if targets and d in targets:
-            share = np.array([targets[d].get(n[1:], 0.0) for n in names]) * (have > 0)
+            given = {_category(c): x for c, x in targets[d].items()}
+            share = np.array([given.get(n, 0.0) for n in names]) * (have > 0)
         wanted.append(tokens.sum() * share / share.sum() if share.sum() else have)
     weight = rake(tokens, codes, wanted) if len(table) else np.empty(0)
     table["weight"], table["probability"] = weight, calibrate(tokens, weight, budget)
-    kinds = ", ".join(f"__{d} string" for d in DIMENSIONS)
-    values = [tuple(r) for r in table[[*[f"__{d}" for d in DIMENSIONS], "weight", "probability"]].itertuples(index=False)]
-    cell_table = docs.sparkSession.createDataFrame(values, f"{kinds}, weight double, probability double")
-    joined = keyed.join(F.broadcast(cell_table), [f"__{d}" for d in DIMENSIONS]).drop(*[f"__{d}" for d in DIMENSIONS])
+    kinds = ", ".join(f"{k} string" for k in KEYS)
+    values = [tuple(r) for r in table[[*KEYS, "weight", "probability"]].itertuples(index=False)]
+    return cells.sparkSession.createDataFrame(values, f"{kinds}, weight double, probability double")
+
+
+def _wanted(cells: DataFrame, dimension: str, total: float, targets: dict[str, dict[str | None, float]] | None) -> DataFrame:
+    """Wanted tokens of each category of a dimension."""
+    key = f"__{dimension}"
+    have = cells.groupBy(key).agg(F.sum("tokens").cast("double").alias("have"))
+    share = F.pow("have", F.lit(POWERS[dimension]))
+    if targets and dimension in targets:
+        given = [(_category(c), float(x)) for c, x in targets[dimension].items()]
+        have = have.join(cells.sparkSession.createDataFrame(given, f"{key} string, given double"), key, "left")
+        share = F.coalesce("given", F.lit(0.0))
+    shares = materialize(have.select(key, "have", F.when(F.col("have") > 0, share).otherwise(0.0).alias("share")), "shares")
+    whole = shares.agg(F.sum("share")).first()[0]
+    return shares.select(key, (F.col("share") * (total / whole) if whole else F.col("have")).alias("wanted"))
+
+
+def _far_weights(cells: DataFrame, budget: float, targets: dict[str, dict[str | None, float]] | None) -> DataFrame:
+    """As ``_local_weights``, by aggregations and joins of the cell table."""
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    wanted = {d: _wanted(cells, d, total, targets) for d in DIMENSIONS}
+    cells = cells.select(*KEYS, "tokens", F.lit(1.0).alias("weight"))
+    for _ in range(ROUNDS):
+        cells = cells.withColumn("worst", F.lit(0.0))
+        for d, target in wanted.items():
+            have = cells.groupBy(f"__{d}").agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"))
+            factor = F.when(F.col("have") > 0, F.col("wanted") / F.col("have")).otherwise(1.0)
+            factors = have.join(target, f"__{d}").select(f"__{d}", factor.alias("factor"))
+            weight, worst = F.col("weight") * F.col("factor"), F.greatest("worst", F.abs(F.col("factor") - 1))
+            cells = cells.join(factors, f"__{d}").select(*KEYS, "tokens", weight.alias("weight"), worst.alias("worst"))
+            cells = materialize(cells, "raked")
+        if (cells.agg(F.max("worst")).first()[0] or 0.0) < CLOSE:
+            break
+    # Capped are the cells with the largest weights, so one scale tells them.
+    free = F.col("tokens") > 0
+    while True:
+        mass, capped, most = cells.agg(
+            F.sum(F.when(free, F.col("weight") * F.col("tokens"))), F.sum(F.when(~free, F.col("tokens"))), F.max(F.when(free, F.col("weight")))
+        ).first()
+        scale = max(0.0, budget * total - (capped or 0)) / mass if mass else 0.0
+        if most is None or scale * most < 1:
+            break
+        free = free & (F.col("weight") * F.lit(scale) < 1)
+    probability = F.when(free, F.col("weight") * F.lit(scale)).otherwise(1.0)
+    return cells.select(*KEYS, "weight", probability.alias("probability"))
+
+
+def mixing_weights(
+    docs: DataFrame, budget: float = 0.5, targets: dict[str, dict[str | None, float]] | None = None, local_cells: int = LOCAL_CELLS
+) -> DataFrame:
+    """The documents with topic, tokens, weight, probability and sampled.
+
+    ``targets`` gives the wanted shares by dimension and category, None for null; a missing dimension gets shares by tokens ** ``POWERS``.
+    """
+    own = [c for c in docs.columns if c not in ("topic", "tokens", "weight", "probability", "sampled")]
+    category = lambda c: F.concat(F.when(c.isNull(), "?").otherwise("="), F.coalesce(c, F.lit("")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own])
+    rows = rows.withColumns({"topic": topic_of(F.coalesce(F.col("text"), F.lit(""))), "tokens": token_count(F.col("text"))})
+    keyed = rows.withColumns({f"__{d}": category(F.col(d)) for d in DIMENSIONS})
+    cells = materialize(keyed.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens")), "cells")
+    n, size = cells.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat(*KEYS))), F.lit(0))).first()
+    if n <= local_cells and size <= LOCAL_BYTES:
+        weights = F.broadcast(_local_weights(cells, budget, targets))
+    else:
+        weights = materialize(_far_weights(cells, budget, targets), "weights")
+    joined = keyed.join(weights, KEYS).drop(*KEYS)
     return joined.withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 
 
-def sample_mixture(docs: DataFrame, budget: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def sample_mixture(docs: DataFrame, budget: float = 0.5, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
     """The sampled documents with the columns they came with."""
     keep = {c: F.col(f"`{c}`").alias(f"__own_{c}") for c in docs.columns if c in ("topic", "tokens", "weight", "probability", "sampled")}
     mixed = mixing_weights(docs.select("*", *keep.values()), budget, targets).where("sampled")

@@ -174,6 +174,24 @@ def test_raking_meets_all_marginals(documents):
         assert (have / have.sum()).to_dict() == pytest.approx((wanted / wanted.sum()).to_dict(), rel=1e-6)
 
 
+@pytest.mark.parametrize("local_cells", [mixing.LOCAL_CELLS, 0])
+def test_raking_gives_every_source_its_own_share(shipped, local_cells):
+    names = [None, "", "*", *[f"host{i}" for i in range(300)]]
+    rows = [(10 * i + j, "word " * (1 + i * 7 % 11 + j), lang, name) for i, name in enumerate(names) for j, lang in enumerate(("en", "de"))]
+    docs = shipped.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = {None: 3.0, "": 2.0, "*": 5.0, **{f"host{i}": 1.0 + i % 4 for i in range(300)}}
+    found = mixing.mixing_weights(docs, 0.3, {"source": targets}, local_cells=local_cells).toPandas()
+    assert len(found) == len(rows)
+    assert (found.probability * found.tokens).sum() == pytest.approx(0.3 * found.tokens.sum(), rel=1e-6)
+    assert found.probability.between(0, 1).all()
+    have = (found.weight * found.tokens).groupby(found.source.map(lambda x: "?" if pd.isna(x) else f"={x}")).sum()
+    share = {"?" if n is None else f"={n}": x / sum(targets.values()) for n, x in targets.items()}
+    assert (have / have.sum()).to_dict() == pytest.approx(share, rel=1e-6)
+    tokens = found.groupby("lang").tokens.sum() ** mixing.POWERS["lang"]
+    have = (found.weight * found.tokens).groupby(found.lang).sum()
+    assert (have / have.sum()).to_dict() == pytest.approx((tokens / tokens.sum()).to_dict(), rel=1e-6)
+
+
 @pytest.mark.parametrize("shard_rows", [4096, 100])
 def test_neighbours_agree_with_brute_force(shipped, sf_dir, shard_rows):
     table = shipped.read.parquet(f"{sf_dir}/embeddings.parquet")
