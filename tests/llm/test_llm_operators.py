@@ -49,6 +49,20 @@ def test_language_model_is_a_distribution():
     assert np.bincount(classes[: lm.PAD], np.exp(within[: lm.PAD]), lm.CLASSES) == pytest.approx(np.ones(lm.CLASSES), rel=1e-4)
 
 
+def test_language_model_learns_from_every_window(documents, monkeypatch):
+    import pyarrow as pa
+
+    path, pattern = lm.tokenizer_path(lm.TOKENIZER), public_tokenizers.PATTERN
+    some = documents.orderBy("doc_id").limit(40)
+    model, _ = lm.train(some, path, pattern)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in some.select("text").collect()])], ["text"])
+    _, ids, tokens = lm._ids(batch, path, pattern)
+    used = []
+    gradient = lm.Model.gradient
+    monkeypatch.setattr(lm.Model, "gradient", lambda self, ids, rows, targets: used.append(len(ids)) or gradient(self, ids, rows, targets))
+    assert model.descend(lm._windows([batch], path, pattern)) == sum(used) == len(lm.blocks_of(ids, tokens).inputs)
+
+
 def test_near_groups_agree_with_all_pairs(documents, rows):
     shingles = {}
     for i, t in zip(rows.doc_id, rows.text):
