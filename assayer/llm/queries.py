@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, lm, mixing, near_dedup, neighbours, packing, quality, substring, token_counts
+from ..session import scratch_dir
+from . import (
+    exact_dedup, hard_negatives, language, lm, mixing, near_dedup, neighbours, packing, periodic, quality, substring, token_counts, warc,
+)
 from .ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +81,41 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    return warc.page_records(archives)
+
+
+def planted_order(doc_id: pa.Array, count: np.ndarray) -> np.ndarray:
+    """Every tenth document, by crc32 of its id, repeats a stretch of its words to its end; the others keep their order."""
+    places = []
+    for name, n in zip(doc_id.to_pylist(), count.tolist()):
+        i = np.arange(n)
+        h = None if name is None else zlib.crc32(str(name).encode())
+        if h is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            i = np.where(i < a, i, a + (i - a) % p)
+        places.append(i)
+    return np.concatenate([np.empty(0, np.int64), *places])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.collapse_runs(_table(spark, sf_dir, "documents"), order=planted_order))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_lm_scoring, op2_near_dedup, op3_token_counts, op4_quality, op5_exact_dedup,
         op6_packing, op7_language, op8_mixing, op9_neighbours, op10_substring,
+        op11_warc, op12_periodic_runs, op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
@@ -93,5 +130,44 @@ FROM d
 """
 
 
+# Five hexadecimal digits are four digits of base 32.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS BIGINT)) AS parts FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((parts[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM b
+"""
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, c.uid AS c, c.vec_id AS vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM r a, r c WHERE a.vec_id % 100 = 0 AND a.uid <> c.uid
+),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, c AS positive, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, c) <= 5
+),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.positive ORDER BY s.score DESC, s.vec_id NULLS LAST, s.c) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_SQL}
+    return {"op5_exact_dedup": EXACT_SQL, "op11_warc": WARC_SQL, "op13_hard_negatives": NEGATIVES_SQL}
