@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +37,7 @@ def dq_unique(df: DataFrame, key: str) -> DataFrame:
 def dq_accepted_values(df: DataFrame, column: str = "stage", values: Iterable[str] = STAGE_ORDER) -> DataFrame:
     """Values outside the list with their frequency."""
     return (
-        df.filter(~F.col(column).isin(*values)).groupBy(column).agg(F.count("*").alias("n_records"))
+        df.filter(~F.col(f"`{column}`").isin(*values)).groupBy(F.col(f"`{column}`")).agg(F.count("*").alias("n_records"))
     )
 
 
@@ -66,15 +66,36 @@ def closed_above_total() -> Column:
     return F.col("won_opportunities") + F.col("lost_opportunities") > F.col("total_opportunities")
 
 
+STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false", "allowNonNumericNumbers": "false"}
+
+
+def _parsed_whole(payload: Column, element: str, end: Column, ended: Callable[[Column], Column], holds: Callable[[Column], Column]) -> Column:
+    """Whether the payload is one JSON value, and ``holds`` is true of it; one strict pass over the text.
+
+    The parser stops after the first complete value and would overlook what follows. So the payload is read as the first element of
+    an array that ends with a marker made of the payload's own hash, which no payload can hold: the array has two elements, the second
+    of them the marker, only if all of the payload is one value.
+    """
+    framed = F.concat(F.lit("["), payload, F.lit(","), end, F.lit("]"))
+    items = F.from_json(framed, f"array<{element}>", STRICT_JSON)
+    # Tested inside a function of the array, so that the text is not parsed once for each part of the test.
+    good = F.exists(F.array(items), lambda x: (F.size(x) == 2) & ended(F.get(x, F.lit(1))) & holds(F.get(x, F.lit(0))))
+    return F.coalesce(good, F.lit(False))
+
+
 def not_json(payload: Column) -> Column:
-    # The parser stops after the first complete value; inside an array it must reach the closing bracket.
-    whole = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
-    return ~F.coalesce(whole, F.lit(False)) | F.try_parse_json(payload).isNull()
+    mark = F.xxhash64(payload).cast("string")
+    quoted = F.concat(F.lit('"'), mark, F.lit('"'))
+    return ~_parsed_whole(payload, "string", quoted, lambda x: x == mark, lambda _: F.lit(True))
 
 
 def metadata_missing(payload: Column) -> Column:
-    times = [F.get_json_object(payload, f"$.{name}").isNull() for name in ("ingested_at", "staged_at")]
-    return not_json(payload) | times[0] | times[1]
+    """Whether the payload is no JSON object, or one without its ingestion or stage time."""
+    mark = F.xxhash64(payload).cast("string")
+    both = F.concat(F.lit('{"~end":"'), mark, F.lit('"}'))
+    element = "struct<ingested_at: string, staged_at: string, `~end`: string>"
+    times = lambda x: x["ingested_at"].isNotNull() & x["staged_at"].isNotNull()
+    return ~_parsed_whole(payload, element, both, lambda x: x["~end"] == mark, times)
 
 
 def dq_timestamp_order(events: DataFrame) -> DataFrame:
@@ -138,8 +159,8 @@ def column_metrics(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     names = list(columns)
     metrics = {}
     for c in names:
-        metrics[f"{c}/null_count"] = F.count_if(F.col(c).isNull())
-        metrics[f"{c}/zero_count"] = F.count_if(F.col(c) == 0)
+        metrics[f"{c}/null_count"] = F.count_if(F.col(f"`{c}`").isNull())
+        metrics[f"{c}/zero_count"] = F.count_if(F.col(f"`{c}`") == 0)
     wide = _per_column(df, metrics, "value")
     return wide.select(
         F.substring_index("column_name", "/", 1).alias("column_name"),
@@ -162,6 +183,10 @@ def score_history(history: DataFrame, series: list[str], sensitivity: float = 3)
             "stddev": F.stddev_samp("value").over(earlier),
         }
     )
+    return _judged(scored, sensitivity)
+
+
+def _judged(scored: DataFrame, sensitivity: float) -> DataFrame:
     score = F.when(F.col("stddev") == 0, F.lit(0.0)).otherwise((F.col("value") - F.col("mean")) / F.col("stddev"))
     scored = scored.withColumn("score", F.when(F.col("earlier_runs") >= MIN_HISTORY, score))
     status = (
@@ -172,6 +197,43 @@ def score_history(history: DataFrame, series: list[str], sensitivity: float = 3)
     return scored.withColumn("status", status)
 
 
+def moments(history: DataFrame, series: list[str]) -> DataFrame:
+    """Number, mean and sum of squared deviations of each series: all that scoring needs of its past, in one row."""
+    n = F.count("value")
+    return history.groupBy(*series).agg(
+        n.alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("value") * n, F.lit(0.0)).alias("squares")
+    )
+
+
+def merge_moments(one: DataFrame, other: DataFrame, series: list[str]) -> DataFrame:
+    """The moments of both histories together, without the histories."""
+    names = ("n", "mean", "squares")
+    a = one.select(*series, *[F.col(c).alias(f"a_{c}") for c in names])
+    b = other.select(*series, *[F.col(c).alias(f"b_{c}") for c in names])
+    both = a.join(b, series, "full").fillna(0, [f"{side}_{c}" for side in "ab" for c in names])
+    n = F.col("a_n") + F.col("b_n")
+    apart = F.col("b_mean") - F.col("a_mean")
+    share = F.when(n > 0, F.col("b_n") / n).otherwise(F.lit(0.0))
+    return both.select(
+        *series,
+        n.alias("n"),
+        F.when(F.col("a_n") == 0, F.col("b_mean")).otherwise(F.col("a_mean") + apart * share).alias("mean"),
+        (F.col("a_squares") + F.col("b_squares") + apart * apart * F.col("a_n") * share).alias("squares"),
+    )
+
+
+def score_against(runs: DataFrame, past: DataFrame, series: list[str], sensitivity: float = 3) -> DataFrame:
+    """The values of a run against the moments of the runs before, one stored row for each series; as ``score_history``."""
+    known = past.select(
+        *series,
+        F.col("n").alias("earlier_runs"),
+        F.when(F.col("n") > 0, F.col("mean")).alias("mean"),
+        F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).alias("stddev"),
+    )
+    scored = runs.join(known, series, "left").withColumn("earlier_runs", F.coalesce("earlier_runs", F.lit(0).cast("long")))
+    return _judged(scored.select(*runs.columns, "earlier_runs", "mean", "stddev"), sensitivity)
+
+
 def dq_volume_anomaly(history: DataFrame, sensitivity: float = 3) -> DataFrame:
     """Row counts of tables over runs: ``table_name, run_at, value``."""
     return score_history(history, ["table_name"], sensitivity)

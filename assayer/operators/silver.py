@@ -144,29 +144,45 @@ def silver(staged: DataFrame, domain: Domain) -> DataFrame:
     return event_payload(distinct_events(staged), domain.name)
 
 
+def bound_literal(micros: int | None) -> Column:
+    """An ingestion time in microseconds as a timestamp literal; None stands for a table without any."""
+    return F.lit(EPOCH_FLOOR).cast("timestamp") if micros is None else F.timestamp_micros(F.lit(micros))
+
+
 def ingestion_bound(target: DataFrame) -> Column:
     """The newest ``ingested_at`` of a table as a literal; one number comes to the driver."""
-    micros = target.agg(F.unix_micros(F.max("ingested_at"))).first()[0]
-    return F.lit(EPOCH_FLOOR).cast("timestamp") if micros is None else F.timestamp_micros(F.lit(micros))
+    return bound_literal(target.agg(F.unix_micros(F.max("ingested_at"))).first()[0])
 
 
-def incremental_filter(df: DataFrame, target: DataFrame | None) -> DataFrame:
-    """Rows ingested after everything in ``target``; all rows when there is no target yet.
+def ingested_after(df: DataFrame, bound: Column | None) -> DataFrame:
+    """Rows ingested after a bound; all rows when there is none yet.
 
     The bound is a literal, so it reaches the parquet scan and skips row groups, and whole folders where bronze
     is kept by day. The comparison is strict: equal and NULL times are skipped.
     """
-    if target is None:
+    if bound is None:
         return df
-    bound = ingestion_bound(target)
     fresh = df.filter(F.col("ingested_at") > bound)
     return fresh.filter(F.col(INGEST_DAY) >= F.to_date(bound)) if INGEST_DAY in df.columns else fresh
 
 
+def incremental_filter(df: DataFrame, target: DataFrame | None) -> DataFrame:
+    """Rows ingested after everything in ``target``; all rows when there is no target yet.
+
+    For a plain target its newest time is read. Tables that are kept with ``UpsertTable`` know theirs (``bound_before``).
+    """
+    return ingested_after(df, None if target is None else ingestion_bound(target))
+
+
+def late_and_taken(bound: Column | None) -> list[Column]:
+    """Counts of the rows an ingestion bound takes and of those it leaves out as late."""
+    taken = F.lit(True) if bound is None else F.coalesce(F.col("ingested_at") > bound, F.lit(False))
+    return [F.count_if(taken).alias("accepted_rows"), F.count_if(~taken).alias("late_rows")]
+
+
 def skipped_rows(df: DataFrame, target: DataFrame) -> DataFrame:
     """How many rows the incremental filter takes and how many it leaves out as late."""
-    taken = F.coalesce(F.col("ingested_at") > ingestion_bound(target), F.lit(False))
-    return df.agg(F.count_if(taken).alias("accepted_rows"), F.count_if(~taken).alias("late_rows"))
+    return df.agg(*late_and_taken(ingestion_bound(target)))
 
 
 def append_new_columns(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -174,14 +190,19 @@ def append_new_columns(target: DataFrame, batch: DataFrame) -> DataFrame:
     return target.unionByName(batch, allowMissingColumns=True)
 
 
-def upsert_latest(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """``batch`` rows replace the target rows with the same key; all others are kept.
+def not_replaced(target: DataFrame, batch: DataFrame, key: str, *bucketed_with: str) -> DataFrame:
+    """The target rows whose key is not in the batch.
 
     NULL keys match nothing: they bypass the join, so they cannot gather in one shuffle partition. The
-    remaining target keys are unique. Whether the batch is broadcast is left to Spark's own size check.
+    remaining target keys are unique. Whether the batch is broadcast is left to Spark's own size check. ``bucketed_with`` names
+    further columns that follow from the key and by which both sides are bucketed.
     """
-    unmatched = target.filter(F.col(key).isNotNull()).join(
-        batch.select(key).filter(F.col(key).isNotNull()), key, "left_anti"
-    )
-    keyless = target.filter(F.col(key).isNull())
-    return append_new_columns(unmatched.select(*target.columns).unionByName(keyless), batch)
+    columns = [key, *bucketed_with]
+    present = batch.select(*[f"`{c}`" for c in columns]).filter(F.col(f"`{key}`").isNotNull())
+    keyed = target.filter(F.col(f"`{key}`").isNotNull()).join(present, columns, "left_anti")
+    return keyed.select(*[f"`{c}`" for c in target.columns]).unionByName(target.filter(F.col(f"`{key}`").isNull()))
+
+
+def upsert_latest(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """``batch`` rows replace the target rows with the same key; all others are kept."""
+    return append_new_columns(not_replaced(target, batch, key), batch)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..catalogue import DOMAINS, MONITORS, Domain
 from ..operators import gold, quality
-from ..operators.silver import incremental_filter, silver
+from ..operators.silver import ingested_after, silver
 from ..operators.staging import stage_events
 from ..operators.volumes import table_volumes
 from ..sources.files import child_names, conform, materialize_all, overwrite_table
 from ..sources.tables import UpsertTable
 from .adhoc import named_views, register_views
-from .checks import full_report
+from .checks import STAGING_RULES, full_report
 
 # Fixed value: models that run at the same time.
 PARALLEL_MODELS = 4
@@ -40,20 +40,37 @@ def run_silver(
     domains: Iterable[str] = tuple(DOMAINS),
     compact_every: int = 8,
 ) -> None:
-    """Bring every silver table up to date with the bronze rows ingested since its last run."""
+    """Bring every silver table up to date with the bronze rows ingested since its last run.
 
-    def refresh(name: str) -> None:
+    The ingestion bound comes from what earlier writes observed, and the staging rules are observed on the rows of this run while they
+    are written, so neither stored silver nor older bronze is read for them. The outcome of the rules is kept with the run.
+    """
+
+    def refresh(name: str) -> tuple[str, dict[str, int | None]]:
         domain = DOMAINS[name]
         table = silver_table(spark, root, domain)
         if table.folded(run_id):
-            return
-        fresh = conform(incremental_filter(bronze(name), table.rows_before(run_id)), domain.schema)
-        table.write_batch(silver(stage_events(fresh, staged_at), domain), run_id)
+            return name, {}
+        fresh = conform(ingested_after(bronze(name), table.bound_before(run_id)), domain.schema)
+        rules = {rule: F.count_if(F.col(domain.sk if rule == "row_hash" else rule).isNull()) for rule in STAGING_RULES}
+        seen = table.write_batch(silver(stage_events(fresh, staged_at), domain), run_id, rules=rules)
         table.compact_if_worth(compact_every)
+        table.remove_folded()
+        return name, seen
 
     # The tables are independent; several at once keep the executors busy between the small ones.
     with ThreadPoolExecutor(PARALLEL_MODELS) as pool:
-        list(pool.map(refresh, domains))
+        seen = dict(pool.map(refresh, domains))
+    lines = [(f"staging.{name}", f"not_null:{rule}", found[rule]) for name, found in seen.items() if found for rule in STAGING_RULES]
+    if lines:
+        report = spark.createDataFrame(lines, "table_name string, check_name string, failures bigint")
+        report.withColumn("severity", F.lit("error")).coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_staging/run_id={run_id}")
+
+
+def staging_outcome(spark: SparkSession, root: str, run_id: int) -> DataFrame:
+    """What the staging rules found on the rows of a run, as report lines."""
+    path = f"{root}/dq_staging/run_id={run_id}"
+    return spark.read.parquet(path).select("check_name", "table_name", "severity", "failures")
 
 
 def stored_silver(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -149,15 +166,11 @@ def anomaly_report(spark: SparkSession, root: str, run_id: int) -> DataFrame:
 
 
 def run_checks(
-    spark: SparkSession,
-    root: str,
-    staged: Mapping[str, DataFrame],
-    rows: Mapping[str, DataFrame],
-    models: dict[str, DataFrame],
-    run_id: int,
+    spark: SparkSession, root: str, rows: Mapping[str, DataFrame], models: dict[str, DataFrame], run_id: int
 ) -> None:
     """Store the outcome of every declared check and monitor on this run's tables."""
-    report = quality.dq_report([full_report(staged, rows, models), anomaly_report(spark, root, run_id)])
+    staging = staging_outcome(spark, root, run_id)
+    report = quality.dq_report([staging, full_report({}, rows, models), anomaly_report(spark, root, run_id)])
     report.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_report/run_id={run_id}")
 
 
@@ -179,8 +192,7 @@ def medallion_run(
     rows |= materialize_all({n: rows[n] for n in DOMAINS if DOMAINS[n].typed}, "merged")
     models = run_gold(spark, root, as_of, rows)
     run_metrics(spark, root, models, run_id, staged_at)
-    staged = {n: stage_events(conform(bronze(n), d.schema), staged_at) for n, d in DOMAINS.items()}
-    run_checks(spark, root, staged, rows, models, run_id)
+    run_checks(spark, root, rows, models, run_id)
     tables = {f"silver.{n}": df for n, df in rows.items()}
     tables |= {f"gold.{n}": df for n, df in models.items()}
     return table_volumes(tables)

@@ -10,7 +10,7 @@ from ..catalogue import DOMAINS, MONITORS, OPAQUE
 from ..functions import sales
 from ..functions.hashing import NULL_KEY
 from ..operators import volumes
-from .bindings import AS_OF, BINDINGS, REPORTED, SPLIT_AT, STAGED_AT, TABLES
+from .bindings import AS_OF, BINDINGS, JSON_TAILS, MART_CONTENT, REPORTED, SPLIT_AT, STAGED_AT, TABLES
 from .checks import AMOUNTS, REQUIRED
 
 STAGED = f"TIMESTAMP '{STAGED_AT}'"
@@ -18,7 +18,9 @@ DAY = f"DATE '{AS_OF}'"
 
 
 def _text(c: str) -> str:
-    return f"NULLIF(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
+    # Blanks of Unicode besides those of \\s: separators and the next-line sign.
+    blank = "[\\s\\p{Z}\\x{85}\\x{0b}]+"
+    return f"NULLIF(regexp_replace({c}, '^{blank}|{blank}$', '', 'g'), '')"
 
 
 def _date(c: str) -> str:
@@ -345,9 +347,14 @@ def _build() -> dict[str, str]:
             for f in DOMAINS["crm"].schema if f.name != "ingested_at"
         ) + " FROM documents WHERE CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE FALSE END"
     )
+    crm = [f for f in _fields("crm") if f[0] != "ingested_at"]
+    worded = [(n, T.StringType()) if n == "value" else (n, t) for n, t in crm]
     q["rejected_messages"] = (
         "SELECT text AS value, 'not a JSON object' AS reject_reason FROM documents "
         "WHERE CASE WHEN json_valid(text) THEN json_type(text) <> 'OBJECT' ELSE TRUE END"
+        f" UNION ALL SELECT {_json_object([f for f in crm if f[0] != 'stage'])}, 'missing: stage' FROM brz_crm"
+        f" UNION ALL SELECT {_json_object(worded)}, 'bad value: value' FROM "
+        "(SELECT * REPLACE ('about ' || CAST(value AS VARCHAR) AS value) FROM brz_crm WHERE value IS NOT NULL)"
     )
     present = " AND ".join(f"{c} IS NOT NULL" for c in CRM_COLUMNS.split(", "))
     q["require_fields"] = f"SELECT {CRM_COLUMNS} FROM brz_crm WHERE {present}"
@@ -371,7 +378,7 @@ def _build() -> dict[str, str]:
     record = [("opportunity_id", T.StringType()), ("stage", T.StringType()), ("region", T.StringType()),
               ("product", T.StringType()), ("agent", T.StringType()), ("value", T.DoubleType()),
               ("days_since_update", T.IntegerType()), ("days_until_expected_close", T.IntegerType()),
-              ("is_stale", T.BooleanType())]
+              ("is_stale", T.BooleanType()), ("updated_at", T.TimestampType()), ("ingested_at", T.TimestampType())]
     q["export_json_records"] = f"SELECT {_json_object(record)} AS record FROM opp"
     q["adhoc_sql"] = (
         "SELECT region, count(*) AS overdue, round(sum(value), 2) AS overdue_value FROM opp "
@@ -382,13 +389,15 @@ def _build() -> dict[str, str]:
         UNION ALL SELECT 'partner', count(*) FROM dst_partner UNION ALL SELECT 'agency', count(*) FROM dst_agency"""
 
     # Projections
-    q["stage_events"] = "SELECT * FROM stg_crm"
+    q["stage_events"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS domain, row_hash, staged_at, ingested_at, {_json_object(_fields(n))} AS source FROM stg_{n}" for n in DOMAINS
+    )
     q["clean_bookings"] = "SELECT * FROM cln_booking"
     q["clean_opportunities"] = "SELECT * FROM cln_crm"
     q["clean_customers"] = "SELECT * FROM cln_customer"
-    q["event_payload"] = (
-        f"SELECT row_hash AS fraud_event_sk, staged_at, ingested_at, {_json_object(_payload_fields('fraud'))} "
-        "AS event_payload FROM stg_fraud"
+    q["event_payload"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS domain, row_hash AS event_sk, staged_at, ingested_at, {_json_object(_payload_fields(n))} AS event_payload FROM stg_{n}"
+        for n in OPAQUE
     )
     q["normalize_stage"] = f"SELECT crm_event_sk, stage AS source, {STAGE} AS stage FROM cln_crm"
     q["normalize_product"] = f"SELECT crm_event_sk, product AS source, {PRODUCT} AS product FROM cln_crm"
@@ -510,7 +519,9 @@ def _build() -> dict[str, str]:
     q["latest_booking"] = "SELECT * FROM slv_booking"
     q["latest_opportunity"] = "SELECT * FROM slv_crm"
     q["latest_customer"] = "SELECT * FROM slv_customer"
-    q["latest_event"] = "SELECT * FROM slv_seat"
+    q["latest_event"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS domain, {n}_event_sk AS event_sk, staged_at, ingested_at, event_payload FROM slv_{n}" for n in OPAQUE
+    )
 
     # Incremental maintenance
     q["incremental_filter"] = "SELECT * FROM brz_crm WHERE ingested_at > (SELECT max(ingested_at) FROM old_crm)"
@@ -531,7 +542,13 @@ def _build() -> dict[str, str]:
         **{f"{g}_event_monitor": f"SELECT {len(names)}" for g, names in MONITORS.items()},
     }
     rows += [f"SELECT 'gold.{n}' AS table_name, ({s}) AS row_count" for n, s in gold_counts.items()]
-    q["medallion_run"] = " UNION ALL ".join(rows).replace("SELECT 2)", "SELECT CAST(2 AS BIGINT))")
+    lines = [f"SELECT table_name, '' AS key, 'rows' AS measure, CAST(row_count AS DOUBLE) AS value FROM ({' UNION ALL '.join(rows)})"]
+    for mart, (keys, measures) in MART_CONTENT.items():
+        key = "concat_ws('|', " + ", ".join(f"COALESCE({k}, '~')" for k in keys) + ")"
+        for name, digits in measures.items():
+            number = f"epoch_us({name})" if digits is None else f"round(CAST({name} AS DOUBLE), {digits})"
+            lines.append(f"SELECT 'gold.{mart}', {key}, '{name}', CAST({number} AS DOUBLE) FROM ({q[mart]})")
+    q["medallion_run"] = " UNION ALL ".join(lines)
 
     # Streams: the state they end in
     q["stream_ingest"] = q["parse_json_events"]
@@ -567,6 +584,7 @@ def _build() -> dict[str, str]:
         for name, column, relation in (
             ("documents", "text", "documents"),
             ("events", "props", "events"),
+            *[(n, "event_payload", f"(SELECT props || '{tail}' AS event_payload FROM events)") for n, tail in JSON_TAILS.items()],
             *[(n, "event_payload", f"slv_{n}") for n in OPAQUE],
         )
     )
@@ -575,10 +593,11 @@ def _build() -> dict[str, str]:
         "events": "SELECT props AS p FROM events",
         "bronze": f"SELECT {_json_object(two_keys)} AS p FROM brz_support",
         "support": "SELECT event_payload AS p FROM slv_support",
+        **{n: f"SELECT props || '{tail}' AS p FROM events" for n, tail in JSON_TAILS.items()},
     }
     q["dq_payload_metadata"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS model_name, p AS event_payload FROM ({sql}) WHERE NOT json_valid(p) "
-        "OR json_extract_string(p, '$.ingested_at') IS NULL OR json_extract_string(p, '$.staged_at') IS NULL"
+        f"SELECT '{name}' AS model_name, p AS event_payload FROM ({sql}) WHERE CASE WHEN NOT json_valid(p) THEN TRUE ELSE "
+        "json_extract_string(p, '$.ingested_at') IS NULL OR json_extract_string(p, '$.staged_at') IS NULL END"
         for name, sql in payloads.items()
     )
     counts = [f"CAST({c}_opportunities AS BIGINT) AS {c}_opportunities" for c in ("won", "lost", "total")]
@@ -615,6 +634,8 @@ def _build() -> dict[str, str]:
         _count(f"not_null:{c}", f"staging.{n}", f"stg_{n}", f"{c} IS NULL")
         for n in DOMAINS for c in ("row_hash", "staged_at")
     )
+    q["dq_full_report"] = " UNION ALL ".join(q[n] for n in ("dq_staging_report", "dq_report", "dq_opaque_report"))
+    q["dq_anomaly_from_moments"] = f"SELECT * FROM ({q['dq_volume_anomaly']}) WHERE run_at >= TIMESTAMP '2024-01-30'"
     q["dq_volume_bands"] = f"""SELECT table_name, row_count, CASE WHEN row_count >= {volumes.OK_ROWS} THEN 'OK'
         WHEN row_count >= {volumes.MEDIUM_ROWS} THEN 'MED' ELSE 'LOW' END AS status FROM volumes"""
     q["volume_band_totals"] = f"""SELECT count(*) FILTER (status = 'OK') AS tables_ok,

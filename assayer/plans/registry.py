@@ -47,10 +47,6 @@ def _money(mart: DataFrame) -> DataFrame:
     return rounded(mart, total_pipeline_value=2, won_value=2)
 
 
-def _staged(domain: str) -> Query:
-    return lambda spark, sf: b.staged(spark, sf, domain)
-
-
 def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return sv.clean_opportunities(b.staged(spark, sf, "crm"))
 
@@ -92,7 +88,9 @@ def _parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rejected(spark: SparkSession, sf: str) -> DataFrame:
-    return messages.rejected_messages(b.mixed_messages(spark, sf), CRM_MESSAGE, CRM_REQUIRED)
+    """Prose, messages without a required key, and messages with values that cannot be cast."""
+    sent = b.mixed_messages(spark, sf).unionByName(b.faulty_messages(spark, sf))
+    return messages.rejected_messages(sent, CRM_MESSAGE, CRM_REQUIRED)
 
 
 def _require(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,8 +175,27 @@ def _sorted(opportunities: DataFrame) -> DataFrame:
 # Projections
 
 
+def _staged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The staged rows of all domains; their columns differ, so they are rendered as text."""
+    rows = {n: b.staged(spark, sf, n) for n in DOMAINS}
+    rendered = {n: df.select("row_hash", "staged_at", "ingested_at", row_json(DOMAINS[n].schema.names).alias("source")) for n, df in rows.items()}
+    return gold.tagged_union(rendered, "domain", "row_hash", "staged_at", "ingested_at", "source")
+
+
+OPAQUE_COLUMNS = ("event_sk", "staged_at", "ingested_at", "event_payload")
+
+
+def _opaque_rows(rows: dict[str, DataFrame]) -> DataFrame:
+    renamed = {n: df.withColumnRenamed(DOMAINS[n].sk, "event_sk") for n, df in rows.items()}
+    return gold.tagged_union(renamed, "domain", *OPAQUE_COLUMNS)
+
+
 def _payload(spark: SparkSession, sf: str) -> DataFrame:
-    return sv.event_payload(b.staged(spark, sf, "fraud"), "fraud")
+    return _opaque_rows({n: sv.event_payload(b.staged(spark, sf, n), n) for n in OPAQUE})
+
+
+def _latest_event(spark: SparkSession, sf: str) -> DataFrame:
+    return _opaque_rows({n: b.silver_rows(spark, sf, n) for n in OPAQUE})
 
 
 def _ages(cleaned: DataFrame) -> DataFrame:
@@ -211,18 +228,37 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows newer than a silver table, by the bound it observed while it was written."""
     rows = b.bronze(spark, sf, "crm")
-    return sv.incremental_filter(rows, _halves(rows)[0])
+    table = UpsertTable(spark, scratch_dir(spark, "bounded"), CRM.key)
+    table.write_batch(sv.silver(stage_events(_halves(rows)[0], b.STAGED_AT), CRM), 1)
+    return sv.ingested_after(rows, table.bound_before(2))
 
 
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A bucketed base of the stored half, the other half as a batch of its log."""
+    table = UpsertTable(spark, scratch_dir(spark, "upserted"), CRM.key)
     stored, fresh = _halves(_cleaned(spark, sf))
-    return sv.upsert_latest(sv.latest_opportunity(stored), sv.latest_opportunity(fresh), CRM.key)
+    table.write_batch(sv.latest_opportunity(stored), 1)
+    table.compact()
+    table.write_batch(sv.latest_opportunity(fresh), 2)
+    return table.read()
 
 
 def _late(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over two loads, the second of which delivers the rows of the first again: what it took of the second."""
+    landing, root, state, counts = (scratch_dir(spark, f"late-{part}") for part in ("landing", "silver", "state", "counts"))
+    table = UpsertTable(spark, root, CRM.key)
     rows = b.bronze(spark, sf, "crm")
-    return sv.skipped_rows(rows, _halves(rows)[0])
+    last = -1
+    for load in (_halves(rows)[0], rows):
+        before = last
+        load.write.mode("append").parquet(landing)
+        stream = messages.message_stream(spark, "parquet", CRM.schema, path=landing)
+        upsert.stream_upsert_latest(stream, CRM, table, state, b.STAGED_AT, counts=counts).awaitTermination()
+        last = table.last_batch()
+    found = upsert.stream_late_rows(spark, counts).filter(F.col("batch_id") > before)
+    return found.agg(F.sum("accepted_rows").alias("accepted_rows"), F.sum("late_rows").alias("late_rows"))
 
 
 def _new_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,10 +276,20 @@ def _full_refresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _medallion(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every table a run builds, and what its marts hold: one line per key and measure."""
     apply_semantics(spark)
-    return medallion_run(
-        spark, lambda name: b.bronze(spark, sf, name), scratch_dir(spark, "medallion"), 1, b.STAGED_AT, b.AS_OF
-    )
+    root = scratch_dir(spark, "medallion")
+    counts = medallion_run(spark, lambda name: b.bronze(spark, sf, name), root, 1, b.STAGED_AT, b.AS_OF)
+    lines = [counts.select("table_name", F.lit("").alias("key"), F.lit("rows").alias("measure"), F.col("row_count").cast("double").alias("value"))]
+    for mart, (keys, measures) in b.MART_CONTENT.items():
+        rows = spark.read.parquet(f"{root}/gold/{mart}")
+        key = F.concat_ws("|", *[F.coalesce(k, F.lit("~")) for k in keys])
+        pairs = []
+        for name, digits in measures.items():
+            number = F.unix_micros(name).cast("double") if digits is None else F.round(F.col(name).cast("double"), digits)
+            pairs.append(F.struct(F.lit(name).alias("measure"), number.alias("value")))
+        lines.append(rows.select(F.lit(f"gold.{mart}").alias("table_name"), key.alias("key"), F.inline(F.array(*pairs))))
+    return reduce(DataFrame.unionByName, lines)
 
 
 # Streams
@@ -319,11 +365,12 @@ def _conversion_invariants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _payload_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The payloads of all opaque domains, properties that are JSON, and prose that is none."""
+    """The payloads of all opaque domains, properties that are JSON, such with text after them, and prose that is none."""
     prose = b.table(spark, sf, "documents").select(F.col("text").alias("event_payload"))
     props = b.table(spark, sf, "events").select(F.col("props").alias("event_payload"))
+    broken = {n: b.broken_json(spark, sf, tail) for n, tail in b.JSON_TAILS.items()}
     opaque = {n: b.silver_rows(spark, sf, n) for n in OPAQUE}
-    return quality.dq_payload_json({"documents": prose, "events": props, **opaque})
+    return quality.dq_payload_json({"documents": prose, "events": props, **broken, **opaque})
 
 
 def _payload_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,7 +378,8 @@ def _payload_metadata(spark: SparkSession, sf: str) -> DataFrame:
     props = b.table(spark, sf, "events").select(F.col("props").alias("event_payload"))
     unstaged = b.bronze(spark, sf, "support").select(row_json(["ticket_id", "ingested_at"]).alias("event_payload"))
     whole = {"support": b.silver_rows(spark, sf, "support")}
-    return quality.dq_payload_metadata(gold.tagged_union({"events": props, "bronze": unstaged, **whole}, "model_name", "event_payload"))
+    broken = {n: b.broken_json(spark, sf, tail) for n, tail in b.JSON_TAILS.items()}
+    return quality.dq_payload_metadata(gold.tagged_union({"events": props, "bronze": unstaged, **broken, **whole}, "model_name", "event_payload"))
 
 
 def _volume_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,6 +402,15 @@ def _column_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day of each series against the moments of the days before, which are merged from two parts."""
+    days = _volume_history(spark, sf)
+    part = F.when(F.col("run_at") >= F.lit("2024-01-30").cast("timestamp"), 2).otherwise(F.day("run_at") % 2)
+    old = [quality.moments(days.filter(part == k), ["table_name"]) for k in (0, 1)]
+    merged = quality.merge_moments(*old, ["table_name"])
+    return quality.score_against(days.filter(part == 2), merged, ["table_name"])
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return rounded(df, mean=6, stddev=6, score=6)
 
@@ -376,6 +433,14 @@ def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
     return checks.typed_and_gold_report(rows, {"dashboard_opportunities": deals, **marts})
 
 
+def _full_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every declared check of the staging, silver and gold layers, over all domains."""
+    rows = files.materialize_all({n: b.silver_rows(spark, sf, n) for n in DOMAINS}, "full")
+    models = gold_models(rows, b.AS_OF)
+    models["dashboard_opportunities"] = files.materialize(models["dashboard_opportunities"], "full-deals")
+    return checks.full_report({n: b.staged(spark, sf, n) for n in DOMAINS}, rows, models)
+
+
 def _staging_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.dq_report([checks.staging_report(b.staged(spark, sf, n), n) for n in DOMAINS])
 
@@ -401,12 +466,12 @@ QUERIES: dict[str, Query] = {
     "scan_source": _scan,
     "load_opportunities": _on_opportunities(report.load_opportunities),
     "export_json_records": _on_opportunities(
-        lambda o: files.json_records(o.select(*gold.OPPORTUNITY_COLUMNS))
+        lambda o: files.json_records(o.select(*gold.OPPORTUNITY_COLUMNS, "updated_at", "ingested_at"))
     ),
     "adhoc_sql": _adhoc,
     "adhoc_sql_marts": _adhoc_marts,
     # Projections and filters
-    "stage_events": _staged("crm"),
+    "stage_events": _staged_rows,
     "clean_bookings": lambda s, d: sv.clean_bookings(b.staged(s, d, "booking")),
     "clean_opportunities": _cleaned,
     "clean_customers": lambda s, d: sv.clean_customers(b.staged(s, d, "customer")),
@@ -486,7 +551,7 @@ QUERIES: dict[str, Query] = {
     "latest_booking": lambda s, d: b.silver_rows(s, d, "booking"),
     "latest_opportunity": lambda s, d: b.silver_rows(s, d, "crm"),
     "latest_customer": lambda s, d: b.silver_rows(s, d, "customer"),
-    "latest_event": lambda s, d: b.silver_rows(s, d, "seat"),
+    "latest_event": _latest_event,
     # Sorts and top-k
     "sort_by_stage_order": _on_opportunities(_sorted),
     "top_agents": _on_conversion("agent", lambda m: _money(report.top_agents(m))),
@@ -512,6 +577,7 @@ QUERIES: dict[str, Query] = {
     "dq_volume_anomaly": lambda s, d: _scored(quality.dq_volume_anomaly(_volume_history(s, d))),
     "dq_schema_change": _schema_change,
     "dq_column_anomaly": lambda s, d: _scored(quality.dq_column_anomaly(_column_history(s, d))),
+    "dq_anomaly_from_moments": lambda s, d: _scored(_moments(s, d)),
     "dq_timestamp_order": _timestamp_order,
     "dq_travel_dates": lambda s, d: quality.dq_travel_dates(b.silver_rows(s, d, "booking")),
     "dq_won_lte_total": _won_lte_total,
@@ -522,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "dq_report": _dq_report,
     "dq_opaque_report": _opaque_report,
     "dq_staging_report": _staging_report,
+    "dq_full_report": _full_report,
     "dq_volume_bands": _on_volumes(volumes.volume_bands),
     "volume_band_totals": _on_volumes(lambda v: volumes.volume_band_totals(volumes.volume_bands(v))),
     "dq_conversion_invariants": _conversion_invariants,

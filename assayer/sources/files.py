@@ -26,6 +26,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern; only folders along the pattern are listed."""
+    hadoop, fs = _hadoop_path(spark, pattern)
+    return [s.getPath().toString() for s in fs.globStatus(hadoop) or []]
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the direct children of a folder; empty when it does not exist."""
     hadoop, fs = _hadoop_path(spark, path)
@@ -37,11 +43,6 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop).getLength()
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
-    hadoop, fs = _hadoop_path(spark, path)
-    fs.mkdirs(hadoop)
-
-
 def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop, fs = _hadoop_path(spark, path)
     fs.delete(hadoop, True)

@@ -30,8 +30,8 @@ def decode(value: Column) -> Column:
     return F.try_validate_utf8(value.cast("string"))
 
 
-def _read(df: DataFrame, schema: T.StructType, required: Iterable[str], value: str) -> DataFrame:
-    """Add ``_raw``, the object's fields as text (NULL when the message is not one JSON object), and ``_keys``.
+def read_objects(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """Add ``_raw``, the object's fields as text (NULL when the message is not one JSON object).
 
     Spark's parser stops after the first complete value and would overlook what follows it. So the message is
     read as the first element of an array that we end with a marker object: only when the whole message is one
@@ -43,12 +43,17 @@ def _read(df: DataFrame, schema: T.StructType, required: Iterable[str], value: s
     shape = T.ArrayType(T.StructType([*fields, T.StructField(END, T.StringType(), True)]))
     framed = F.concat(F.lit("["), message, F.lit(f',{{"{END}":1}}]'))
     df = df.withColumn("_items", F.from_json(framed, shape, STRICT))
-    if required:
-        df = df.withColumn("_keys", F.json_object_keys(message))
     whole = (F.size("_items") == 2) & (F.get("_items", F.lit(1))[END] == "1")
     return df.withColumn("_raw", F.when(whole, F.get("_items", F.lit(0)))).drop("_items")
 
 
+def _read(df: DataFrame, schema: T.StructType, required: Iterable[str], value: str) -> DataFrame:
+    """``read_objects`` and, where keys are required, ``_keys``."""
+    if required:
+        df = df.withColumn("_keys", F.json_object_keys(decode(F.col(value))))
+    return read_objects(df, schema, value)
+
+
 def _judge(schema: T.StructType, required: Iterable[str]) -> tuple[Column, Column]:
     """The typed row of a read message, and why it is rejected (NULL for a good one)."""
     raw = F.col("_raw")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import CRM_REQUIRED, DOMAINS, Domain
-from ..sources.files import INGEST_DAY, conform, path_exists, scan_source, with_ingest_day
-from ..sources.messages import parse_json_events, rejected_messages, stamp_ingested_at
+from ..sources.files import INGEST_DAY, conform, matching_paths, with_ingest_day
+from ..sources.messages import decode, parse_json_events, read_objects, rejected_messages, stamp_ingested_at
 
 QUARANTINE = "quarantine"
+TABLE = "bronze_table"
 
 
 def stream_ingest(
@@ -47,36 +48,78 @@ def stream_quarantine(
     return writer.trigger(availableNow=True).start(path)
 
 
+def fanout_columns(domains: Iterable[Domain]) -> dict[str, tuple[str, T.DataType, list[str]]]:
+    """Columns of the one table all domains are written to: name there → (name, type, domains that have it).
+
+    A name that domains use with several types has a column for each.
+    """
+    owners: dict[tuple[str, T.DataType], list[str]] = {}
+    for domain in domains:
+        for f in domain.schema:
+            if f.name != "ingested_at":
+                owners.setdefault((f.name, f.dataType), []).append(domain.name)
+    several = Counter(name for name, _ in owners)
+    return {
+        name if several[name] == 1 else f"{name}__{kind.simpleString()}": (name, kind, names)
+        for (name, kind), names in owners.items()
+    }
+
+
+def fanout_rows(messages: DataFrame, domains: Iterable[Domain], at: Column | None = None) -> DataFrame:
+    """Each message as one row of the table of its topic, or of the quarantine with its topic, value and reason.
+
+    A message is parsed once, with the names of all domains; each name is cast for the domains that have it and NULL for others.
+    """
+    domains = list(domains)
+    columns = fanout_columns(domains)
+    topic, value = F.col("message_topic"), F.col("message_value")
+    strict = {d.name: tuple(CRM_REQUIRED) for d in domains if d.name == "crm"}
+    shape = T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(name for name, _, _ in columns.values())])
+    sent = messages.select(F.col("topic").alias("message_topic"), F.col("value").alias("message_value"))
+    read = read_objects(sent, shape, "message_value")
+    typed, lost = {}, []
+    for column, (name, kind, names) in columns.items():
+        own = topic.isin(*names)
+        typed[column] = F.when(own, F.col("_raw")[name].try_cast(kind))
+        if not isinstance(kind, T.StringType):
+            lost.append(F.when(own & F.col("_raw")[name].isNotNull() & typed[column].isNull(), F.lit(name)))
+    keys = F.json_object_keys(decode(value))
+    missing = [
+        F.when(topic == name, F.array_join(F.array_except(F.array(*map(F.lit, required)), keys), ",")) for name, required in strict.items()
+    ]
+    listed = {"missing": F.concat_ws(",", *missing), "bad value": F.concat_ws(",", *lost)}
+    reason = F.when(~F.coalesce(topic.isin(*[d.name for d in domains]), F.lit(False)), F.lit("unknown topic"))
+    reason = reason.when(F.col("_raw").isNull(), F.lit("not a JSON object"))
+    for label, names in listed.items():
+        reason = reason.when(names != "", F.concat(F.lit(f"{label}: "), names))
+    moment = F.current_timestamp() if at is None else at
+    judged = read.select(topic, value, reason.alias("reject_reason"), *[c.alias(n) for n, c in typed.items()])
+    good = F.col("reject_reason").isNull()
+    precise = F.when(topic == "crm", moment).otherwise(F.date_trunc("second", moment))
+    return judged.select(
+        *[F.when(good, F.col(n)).alias(n) for n in columns],
+        F.when(good, precise).alias("ingested_at"),
+        F.when(~good, topic).alias("message_topic"),
+        F.when(~good, value).alias("message_value"),
+        "reject_reason",
+        F.when(good, topic).otherwise(F.lit(QUARANTINE)).alias(TABLE),
+        F.to_date(moment).alias(INGEST_DAY),
+    )
+
+
 def fanout_batch(
     messages: DataFrame, batch_id: int, root: str, domains: Iterable[Domain], at: Column | None, writer: str = "batch"
 ) -> None:
-    """Write one micro-batch of (topic, value) messages to the bronze folders of its domains.
+    """Write one micro-batch of (topic, value) messages to the bronze folders of its domains, in one job.
 
-    The micro-batch is kept while the domains are written, so the source is read once. A folder per writer and batch id
-    makes a replay overwrite its own rows instead of appending them again, and no other writer's rows. CRM messages need
-    all their keys and are stamped to the microsecond, the others to the second. What is not written to a domain goes to
-    the quarantine with its topic and reason, messages of unknown or no topic included.
+    The folders are <root>/batch_id=<writer>-<n>/bronze_table=<domain>/ingest_date=<day>. A folder per writer and batch makes a replay
+    overwrite its own rows instead of appending them again, and no other writer's rows. CRM messages need all their keys and are
+    stamped to the microsecond, the others to the second. What is not written to a domain goes to the quarantine with its topic
+    and reason, messages of unknown or no topic included. Rows are dealt by table first, into parts of even size, so that a batch
+    leaves a file or a few for each table and not one of each task, and a topic with most of the rows is split.
     """
-    domains = list(domains)
-    names = [d.name for d in domains]
-    batch = f"batch_id={writer}-{batch_id}"
-    messages = messages.select("topic", "value").persist()
-    known = F.coalesce(F.col("topic").isin(*names), F.lit(False))
-    try:
-        present = {r[0] for r in messages.filter(known).select("topic").distinct().collect()}  # at most one per domain
-        rejects = [messages.filter(~known).withColumn("reject_reason", F.lit("unknown topic"))]
-        for domain in domains:
-            if domain.name in present:
-                required, precision = (CRM_REQUIRED, "microsecond") if domain.name == "crm" else ((), "second")
-                own = messages.filter(F.col("topic") == domain.name)
-                rows = parse_json_events(own, domain.schema, required)
-                rows = conform(stamp_ingested_at(rows, at, precision), domain.schema)
-                target = f"{root}/{domain.name}/{batch}"
-                with_ingest_day(rows).write.mode("overwrite").partitionBy(INGEST_DAY).parquet(target)
-                rejects.append(rejected_messages(own, domain.schema, required))
-        reduce(DataFrame.unionByName, rejects).write.mode("overwrite").parquet(f"{root}/{QUARANTINE}/{batch}")
-    finally:
-        messages.unpersist()
+    rows = fanout_rows(messages, domains, at).hint("rebalance", F.col(TABLE))
+    rows.write.mode("overwrite").partitionBy(TABLE, INGEST_DAY).parquet(f"{root}/batch_id={writer}-{batch_id}")
 
 
 def fanout_bronze(
@@ -103,14 +146,24 @@ def writer_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def read_fanout(spark: SparkSession, root: str, domain: Domain) -> DataFrame:
-    """The bronze table of a domain written by ``fanout_bronze``; typed and empty before its first message."""
-    folder = f"{root}/{domain.name}"
-    if not path_exists(spark, folder):
-        return spark.createDataFrame([], domain.schema)
-    return scan_source(spark, folder, domain.schema).drop("batch_id")
+def _read_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    folders = matching_paths(spark, f"{root}/batch_id=*/{TABLE}={name}")
+    if not folders:
+        return spark.createDataFrame([], schema.add(INGEST_DAY, "date"))
+    # Only the folders of this table are listed; the schema is given, so no file is opened for it.
+    return spark.read.schema(schema).option("basePath", root).parquet(*folders)
+
+
+def read_fanout(spark: SparkSession, root: str, domain: Domain, domains: Iterable[Domain] = tuple(DOMAINS.values())) -> DataFrame:
+    """The bronze table of a domain written by ``fanout_bronze`` for ``domains``, with its day of ingestion; typed and empty before its first message."""
+    own = {name: column for column, (name, _, names) in fanout_columns(domains).items() if domain.name in names}
+    stored = T.StructType([T.StructField(own.get(f.name, f.name), f.dataType) for f in domain.schema])
+    rows = _read_table(spark, root, domain.name, stored)
+    return rows.select(*[F.col(own.get(f.name, f.name)).alias(f.name) for f in domain.schema], INGEST_DAY)
 
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     """The messages ``fanout_bronze`` could not place: topic, value and reason."""
-    return spark.read.schema("topic string, value string, reject_reason string").parquet(f"{root}/{QUARANTINE}")
+    schema = T.StructType.fromDDL("message_topic string, message_value string, reject_reason string")
+    rows = _read_table(spark, root, QUARANTINE, schema)
+    return rows.select(F.col("message_topic").alias("topic"), F.col("message_value").alias("value"), "reject_reason")

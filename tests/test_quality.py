@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.catalogue import DOMAINS
 from assayer.operators import quality as q
+from assayer.operators import volumes
 
 
 def test_not_null_and_expression_split_the_work(spark):
@@ -115,3 +118,70 @@ def test_report_rows(spark):
         ("not_null:k", "t", "error", 1), ("odd", "t", "warn", 1), ("none", "t", "warn", 0)}
     with pytest.raises(ValueError):
         q.failure_count(df, "x", "t", "info")
+
+
+BROKEN = ['{"a":1}]', '{"a":1}] junk', '{"a":1}],[{', '{"a":1} {"b":2}', '{"a":1},{"b":2}', "{'a':1}", '{"a":NaN}', "", "  ", '{"a":1', "prose", '{"a":1},{"~end":"1"}]']
+WHOLE = ['{"a":1}', ' {"a":{"b":[1,2]}} ', "[1,2]", '"text"', "3.5", "null", "true", "{}", '{"a":"]"}', '{"a":"\\u0041"}']
+
+
+def test_payloads_with_text_after_them_are_no_json(column):
+    assert column(q.not_json, BROKEN) == [True] * len(BROKEN)
+    assert column(q.not_json, WHOLE) == [False] * len(WHOLE)
+    assert column(q.not_json, [None]) == [True]
+
+
+def test_metadata_needs_one_whole_object_with_both_times(column):
+    both = '{"ingested_at":"x","staged_at":"y"}'
+    bad = [both + t for t in ("]", "] junk", "],[{", " x")] + [f"[{both}]", '{"ingested_at":"x"}', '{"ingested_at":"x","staged_at":null}', "3", None, "", '"x"']
+    assert column(q.metadata_missing, [both, " " + both + "\n", *bad]) == [False, False] + [True] * len(bad)
+
+
+def test_payload_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}",)], "event_payload string")
+    for rule in (q.not_json, q.metadata_missing):
+        plan = rows.filter(rule(F.col("event_payload")))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and "parse_json" not in plan and "get_json" not in plan
+
+
+def test_moments_score_as_the_whole_history(spark):
+    rng = random.Random(3)
+    rows = [(t, dt.datetime(2024, 1, d), v) for t, values in {
+        "steady": [5.0] * 9, "noisy": [rng.gauss(1e6, 3) for _ in range(9)], "short": [1.0, 2.0], "gaps": [None, 1.0, None, 3.0, 4.0, 5.0, 99.0]
+    }.items() for d, v in enumerate(values, 1)]
+    history = spark.createDataFrame(rows, "table_name string, run_at timestamp, value double")
+    whole = {(r.table_name, r.run_at): r for r in q.dq_volume_anomaly(history).collect()}
+    past = q.moments(history.limit(0), ["table_name"])
+    for day in range(1, 10):
+        run = history.filter(F.col("run_at") == dt.datetime(2024, 1, day))
+        for r in q.score_against(run, past, ["table_name"]).collect():
+            other = whole[r.table_name, r.run_at]
+            assert (r.earlier_runs, r.status) == (other.earlier_runs, other.status)
+            for name in ("mean", "stddev", "score"):
+                assert r[name] == (None if other[name] is None else pytest.approx(other[name], rel=1e-6, abs=1e-9))
+        past = spark.createDataFrame(q.merge_moments(past, q.moments(run, ["table_name"]), ["table_name"]).collect(), past.schema)
+    assert past.count() == 4
+
+
+def test_columns_with_dots_can_be_checked(spark):
+    df = spark.createDataFrame([("x", 0), (None, 1)], "`a.b` string, `c.d` int")
+    assert [tuple(r) for r in q.dq_accepted_values(df, "a.b", ["y"]).collect()] == [("x", 1)]
+    assert {(r.column_name, r.metric): r.value for r in q.column_metrics(df, ["c.d"]).collect()} == {("c.d", "null_count"): 0.0, ("c.d", "zero_count"): 1.0}
+
+
+def test_deficit_of_a_larger_target_has_parameters(spark):
+    counts = spark.createDataFrame([("t", 1000)], "table_name string, row_count bigint")
+    few = volumes.volume_deficit(counts, 1_000_000)
+    assert few.first().batches == 80 and volumes.deficit_totals(few).first().total_rows_to_load == 80_000
+    all_ = volumes.volume_deficit(counts, 1_000_000, batch_rows=10_000, max_batches=None)
+    assert all_.first().batches == 100 and volumes.deficit_totals(all_, 10_000).first().total_rows_to_load == 999_000
+
+
+def test_full_report_has_every_declared_check(spark, sf_dir):
+    import __spark_entry__ as spark_entry
+
+    lines = spark_entry.queries()["dq_full_report"](spark, sf_dir).collect()
+    assert len({(r.check_name, r.table_name) for r in lines}) == len(lines)
+    tables = {r.table_name for r in lines}
+    assert {f"staging.{n}" for n in DOMAINS} | {f"silver.{n}" for n in DOMAINS} <= tables
+    assert {"gold.dashboard_opportunities", "gold.conversion_by_agent", "gold.conversion_by_product"} <= tables
+    assert sum(r.table_name.startswith("staging.") for r in lines) == 2 * len(DOMAINS)

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from assayer.catalogue import DOMAINS
 from assayer.operators import silver as sv
 from assayer.operators.staging import stage_events
-from assayer.sources.files import conform
+from assayer.sources.files import conform, folder_bytes
 from assayer.sources.tables import UpsertTable
 
 AT = "2024-02-01 00:00:00"
@@ -114,23 +114,22 @@ def test_table_matches_brute_force_over_random_batches(spark, tmp_path):
     assert table.last_batch() == 5
 
 
-def test_table_ignores_uncommitted_batches_and_keeps_columns(spark, tmp_path):
-    path = tmp_path / "t"
-    table = UpsertTable(spark, str(path), "k")
-    assert not table.exists() and table.rows_before(1) is None
+def test_table_keeps_columns_and_skips_replays_of_folded_batches(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    assert not table.exists() and table.bound_before(1) is None and table.last_batch() == -1
+    with pytest.raises(FileNotFoundError):
+        table.read()
     table.write_batch(spark.createDataFrame([("A", 1)], "k string, v int"), 1)
     table.write_batch(spark.createDataFrame([("B", "x")], "k string, extra string"), 2)
-    torn = path / "log" / "batch_id=3"
-    torn.mkdir()
-    (torn / "part-0.parquet").write_bytes(b"torn")
     assert {tuple(r) for r in table.read().collect()} == {("A", 1, None), ("B", None, "x")}
-    assert table.rows_before(2).count() == 1 and table.rows_before(9).count() == 2
     table.write_batch(spark.createDataFrame([("A", 9)], "k string, v int"), 3)
     assert {tuple(r) for r in table.read().collect()} == {("A", 9, None), ("B", None, "x")}
     table.compact()
     assert {tuple(r) for r in table.read().collect()} == {("A", 9, None), ("B", None, "x")}
-    table.write_batch(spark.createDataFrame([("A", 0)], "k string, v int"), 2)  # late replay of a folded batch
-    assert table.pending() == 0
+    assert table.write_batch(spark.createDataFrame([("A", 0)], "k string, v int"), 2) == {}  # late replay of a folded batch
+    assert table.pending() == 0 and table.last_batch() == 3
+    table.write_batch(spark.createDataFrame([], "k string, v int"), 4)
+    assert table.pending() == 1 and table.read().count() == 2
 
 
 def test_table_compacts_only_when_it_pays(spark, tmp_path):
@@ -148,15 +147,108 @@ def test_table_compacts_only_when_it_pays(spark, tmp_path):
     assert table.pending() == 3 and table.log_share() < 0.1
     table.compact_if_worth(max_batches=2)
     assert table.folded(5) and table.read().count() == 20_000
-    table.write_batch(big.limit(4_000), 6)
-    table.write_batch(big.limit(4_000), 7)
-    table.compact_if_worth()
-    assert table.folded(7)
-    table.remove_folded()
-    assert not list((tmp_path / "t" / "log").glob("batch_id=*")) and table.read().count() == 20_000
-    table.write_batch(big.limit(9_000), 8)  # one batch, but too large to merge at every read
+    table.write_batch(big.limit(9_000), 6)  # one batch, but too large to merge at every read
     table.compact_if_worth()
-    assert table.folded(8)
+    assert table.folded(6) and table.read().count() == 20_000
+    assert len(list((tmp_path / "t").iterdir())) == 4
+    table.remove_folded(grace=3600)
+    assert len(list((tmp_path / "t").iterdir())) == 4
+    table.remove_folded(grace=0)
+    assert len(list((tmp_path / "t").iterdir())) == 1 and table.read().count() == 20_000
+
+
+def test_base_is_never_shuffled(spark, tmp_path):
+    """Neither a reader nor folding moves the base, with broadcasts off; a batch writes what it weighs."""
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    rows = spark.range(40_000).selectExpr("CAST(id AS STRING) AS k", "uuid() AS v")
+    table.write_batch(rows, 1)
+    table.compact()
+    before = folder_bytes(spark, str(tmp_path / "t"))
+    table.write_batch(rows.limit(40), 2)
+    table.write_batch(rows.limit(20), 3)
+    assert folder_bytes(spark, str(tmp_path / "t")) - before < before / 50
+    base = table._generation().base.split(".")[1]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (table.read(), table._merged(table._generation())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and base in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert table.read().count() == 40_000
+    table.compact()
+    assert len(list((tmp_path / "t").glob(f"generation-2-*/base/*.parquet"))) == table.buckets  # one sorted file a bucket
+
+
+def test_bound_is_observed_and_read_by_no_job(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    times = ["2024-01-01 00:00:00.000001", None, "2024-01-03 00:00:00", "2024-01-02 00:00:00"]
+    for n, at in enumerate(times):
+        row = spark.createDataFrame([(f"k{n}", at)], "k string, t string").selectExpr("k", "CAST(t AS timestamp) AS ingested_at")
+        table.write_batch(row, n)
+        if n == 2:
+            table.compact()
+    context = spark.sparkContext
+    context.setJobGroup("bounds", "bounds")
+    try:
+        bounds = [table.bound_before(n) for n in (0, 3, 4)]
+        assert not context.statusTracker().getJobIdsForGroup("bounds")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    value = lambda c: spark.range(1).select(c.cast("string")).first()[0]
+    # Batches that were folded are not told apart any more.
+    assert [value(c) for c in bounds] == ["2024-01-03 00:00:00"] * 3
+
+
+def test_bound_of_a_batch_does_not_see_the_batch_itself(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    row = lambda at: spark.sql(f"SELECT 'a' AS k, CAST({at} AS timestamp) AS ingested_at")
+    table.write_batch(row("NULL"), 1)
+    table.write_batch(row("'2024-01-05'"), 2)
+    value = lambda c: spark.range(1).select(c.cast("string")).first()[0]
+    assert value(table.bound_before(2)) == sv.EPOCH_FLOOR and value(table.bound_before(3)) == "2024-01-05 00:00:00"
+    log = table._generation().log
+    spark.sql(f"ALTER TABLE {log} UNSET TBLPROPERTIES ('upsert.bound.2')")  # as if the writer was lost here
+    assert value(table.bound_before(3)) == "2024-01-05 00:00:00"
+
+
+def test_column_types_widen_over_batches_and_clash_aloud(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k")
+    for n, (ddl, v) in enumerate((("int", 1), ("bigint", 2**40), ("double", 0.5), ("int", 7))):
+        table.write_batch(spark.createDataFrame([(f"k{n}", v)], f"k string, v {ddl}"), n)
+    assert {tuple(r) for r in table.read().collect()} == {("k0", 1.0), ("k1", 2.0**40), ("k2", 0.5), ("k3", 7.0)}
+    assert dict(table.read().dtypes)["v"] == "double"
+    with pytest.raises(ValueError, match="cannot turn from double into string"):
+        table.write_batch(spark.createDataFrame([("k9", "x")], "k string, v string"), 9)
+    with pytest.raises(ValueError, match="own"):
+        table.write_batch(spark.createDataFrame([("k9", 1)], "k string, upsert_batch int"), 9)
+    assert table.read().count() == 4
+
+
+def test_reader_that_started_before_is_not_broken_and_generations_stay_few(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "k", buckets=1)
+    one = lambda n: spark.createDataFrame([(f"k{n % 7}", n)], "k string, v int")
+    table.write_batch(one(0), 0)
+    table.compact()
+    early = table.read()
+    for n in range(1, 26):
+        table.write_batch(one(n), n)
+        table.compact_if_worth(4, float("inf"))
+        table.remove_folded()
+    assert [tuple(r) for r in early.collect()] == [("k0", 0)]  # its generation is within the grace
+    for n in range(26, 51):
+        table.write_batch(one(n), n)
+        table.compact_if_worth(4, float("inf"))
+        table.remove_folded(grace=0)
+    assert len(list((tmp_path / "t").iterdir())) == 1 and table.pending() <= 4
+    assert {tuple(r) for r in table.read().collect()} == {(f"k{n % 7}", n) for n in range(44, 51)}
+
+
+def test_table_unknown_to_the_catalog_is_not_overwritten(spark, tmp_path):
+    (tmp_path / "t" / "generation-0-x").mkdir(parents=True)
+    with pytest.raises(ValueError, match="catalog"):
+        UpsertTable(spark, str(tmp_path / "t"), "k").write_batch(spark.createDataFrame([("a", 1)], "k string, v int"), 1)
 
 
 def test_distinct_events_equal_one_row_per_hash(spark):

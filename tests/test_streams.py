@@ -1,8 +1,10 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.catalogue import CRM_REQUIRED, DOMAINS
 from assayer.plans import medallion
@@ -78,6 +80,61 @@ def test_stream_upsert_over_two_loads_with_compaction(spark, tmp_path):
     assert table.pending() == 0
 
 
+def test_stream_counts_what_it_takes_and_what_comes_late(spark, tmp_path):
+    inbox, counts = str(tmp_path / "in"), str(tmp_path / "counts")
+    table = UpsertTable(spark, str(tmp_path / "silver"), CRM.key)
+    assert upsert.stream_late_rows(spark, counts).collect() == []
+    loads = [
+        [("A", "x", 1.0, "2024-01-01", "2024-01-02"), ("B", "x", 1.0, None, None)],
+        [("A", "late", 1.0, "2024-01-09", "2024-01-02"), ("C", "new", 1.0, None, "2024-01-03"), ("D", "late", 1.0, None, None)],
+        [("E", "late", 1.0, None, "2024-01-01")],  # nothing to write
+    ]
+    for rows in loads:
+        bronze(spark, rows).write.mode("append").parquet(inbox)
+        stream = message_stream(spark, "parquet", CRM.schema, path=inbox)
+        upsert.stream_upsert_latest(stream, CRM, table, str(tmp_path / "state"), "2024-02-01", counts=counts).awaitTermination()
+    found = sorted((r.accepted_rows, r.late_rows) for r in upsert.stream_late_rows(spark, counts).collect())
+    assert found == [(0, 1), (1, 2), (2, 0)]
+    assert {(r.opportunity_id, r.stage) for r in table.read().collect()} == {("A", "x"), ("B", "x"), ("C", "new")}
+
+
+def test_fanout_parses_once_and_writes_few_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 16).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'fraud' WHEN id % 3 = 1 THEN 'loyalty' ELSE 'other' END AS topic",
+        """concat('{"event_id":"', id, '","risk_score":"1.5","points_earned":', id, '}') AS value""",
+    )
+    limit = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "5000")
+    try:
+        plan = ingest.fanout_rows(rows, DOMAINS.values())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", limit)
+    assert plan.count("from_json") == 1 and "Exchange" not in plan
+    root = str(tmp_path / "bronze")
+    context = spark.sparkContext
+    context.setJobGroup("fanout", "fanout")
+    try:
+        ingest.fanout_batch(rows, 7, root, DOMAINS.values(), None)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(list((tmp_path / "bronze").rglob("*.parquet"))) <= 6  # two domains and the quarantine, from 16 tasks
+    loyalty = ingest.read_fanout(spark, root, DOMAINS["loyalty"])
+    assert loyalty.count() == 1333 and loyalty.filter("points_earned % 3 = 1").count() == 1333
+    assert ingest.read_fanout(spark, root, DOMAINS["fraud"]).filter("risk_score = 1.5").count() == 1334
+    assert ingest.read_quarantine(spark, root).count() == 1333
+
+
+def test_fanout_tells_domains_types_and_faults_apart(spark, tmp_path):
+    fields = lambda ddl: T.StructType.fromDDL(ddl + ", ingested_at timestamp")
+    a, c = SimpleNamespace(name="a", schema=fields("id string, n bigint")), SimpleNamespace(name="c", schema=fields("id string, n string"))
+    sent = [("a", '{"id":"1","n":"5"}'), ("a", '{"id":"1","n":"x"}'), ("c", '{"id":"2","n":"x"}'), ("c", '{"n":7} tail'), (None, "{}"), ("a", None)]
+    ingest.fanout_batch(spark.createDataFrame(sent, "topic string, value string"), 0, str(tmp_path), [a, c], None)
+    assert [tuple(r)[:2] for r in ingest.read_fanout(spark, str(tmp_path), a, [a, c]).collect()] == [("1", 5)]
+    assert [tuple(r)[:2] for r in ingest.read_fanout(spark, str(tmp_path), c, [a, c]).collect()] == [("2", "x")]
+    reasons = {(r.topic, r.reject_reason) for r in ingest.read_quarantine(spark, str(tmp_path)).collect()}
+    assert reasons == {("a", "bad value: n"), ("c", "not a JSON object"), (None, "unknown topic"), ("a", "not a JSON object")}
+
+
 def test_replays_are_dropped_on_streams_and_batches(spark, tmp_path):
     rows = bronze(spark, [("A", "won", 1.0, None, "2024-01-01"), ("B", "x", 1.0, None, "2024-01-01")])
     again = rows.withColumn("ingested_at", F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"))
@@ -141,6 +198,8 @@ def test_medallion_is_incremental_and_repeatable(spark, tmp_path, sources):
     assert report.filter("severity = 'error' AND table_name = 'silver.fraud' AND failures > 0").count() == 0
     watched = {r.check_name: r.failures for r in report.filter("run_id = 2 AND severity = 'warn'").collect()}
     assert watched["volume_anomaly"] == watched["schema_change"] == watched["column_anomaly:value.null_count"] == 0
+    staging = report.filter("run_id = 2 AND table_name LIKE 'staging.%'")
+    assert staging.count() == 52 and staging.filter("failures > 0").isEmpty()
     runs = medallion.history(spark, root).filter("metric = 'row_count' AND table_name = 'conversion_by_agent'")
     assert runs.count() == 2
 
