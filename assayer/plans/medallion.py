@@ -25,6 +25,7 @@ VIEWS = ("dashboard_opportunities", "stale_opportunities")
 # Marts whose volume or schema is watched from run to run.
 VOLUME_WATCHED = ("dashboard_opportunities", "opportunities_by_stage", "conversion_by_agent", "conversion_by_product")
 SCHEMA_WATCHED = ("dashboard_opportunities", "opportunities_by_stage")
+SERIES = ["table_name", "column_name", "metric"]
 
 
 def silver_table(spark: SparkSession, root: str, domain: Domain) -> UpsertTable:
@@ -130,6 +131,10 @@ def run_metrics(spark: SparkSession, root: str, models: dict[str, DataFrame], ru
     )
     run = counts.unionByName(columns).withColumn("run_at", F.lit(run_at).cast("timestamp"))
     run.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_metrics/run_id={run_id}")
+    # One row for each series stands for its whole past, so a run costs the same however long the history.
+    now = quality.moments(spark.read.parquet(f"{root}/dq_metrics/run_id={run_id}"), SERIES)
+    state = quality.merge_moments(moments_before(spark, root, run_id), now, SERIES)
+    state.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_moments/run_id={run_id}")
     schemas = {name: quality.schema_snapshot(models[name]) for name in SCHEMA_WATCHED}
     kept = gold.tagged_union(schemas, "table_name", "column_name", "data_type")
     kept.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_schemas/run_id={run_id}")
@@ -139,15 +144,25 @@ def history(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/dq_metrics")
 
 
+def _last_run_before(spark: SparkSession, folder: str, run_id: int) -> int | None:
+    runs = [int(n.partition("=")[2]) for n in child_names(spark, folder) if n.startswith("run_id=")]
+    return max((n for n in runs if n < run_id), default=None)
+
+
+def moments_before(spark: SparkSession, root: str, run_id: int) -> DataFrame:
+    """Moments of every watched series over all runs before one."""
+    schema = "table_name string, column_name string, metric string, n bigint, mean double, squares double"
+    last = _last_run_before(spark, f"{root}/dq_moments", run_id)
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{root}/dq_moments/run_id={last}")
+
+
 def anomaly_report(spark: SparkSession, root: str, run_id: int) -> DataFrame:
     """What the monitors say about one run, given the runs before it: one warning row per series or table."""
-    past = history(spark, root).filter(F.col("run_id") <= run_id)
-    rows = past.filter((F.col("metric") == "row_count") & F.col("table_name").isin(*VOLUME_WATCHED))
-    volume = quality.dq_volume_anomaly(rows).withColumn("check_name", F.lit("volume_anomaly"))
-    column = quality.dq_column_anomaly(past.filter(F.col("metric") != "row_count")).withColumn(
-        "check_name", F.concat(F.lit("column_anomaly:"), "column_name", F.lit("."), "metric")
-    )
-    scored = volume.unionByName(column, allowMissingColumns=True).filter(F.col("run_id") == run_id)
+    run = spark.read.parquet(f"{root}/dq_metrics/run_id={run_id}")
+    watched = (F.col("metric") != "row_count") | F.col("table_name").isin(*VOLUME_WATCHED)
+    scored = quality.score_against(run.filter(watched), moments_before(spark, root, run_id), SERIES)
+    name = F.concat(F.lit("column_anomaly:"), "column_name", F.lit("."), "metric")
+    scored = scored.withColumn("check_name", F.when(F.col("metric") == "row_count", "volume_anomaly").otherwise(name))
     found = [
         scored.select(
             "check_name",
@@ -157,8 +172,8 @@ def anomaly_report(spark: SparkSession, root: str, run_id: int) -> DataFrame:
         )
     ]
     schemas = spark.read.parquet(f"{root}/dq_schemas")
-    earlier = [int(n.partition("=")[2]) for n in child_names(spark, f"{root}/dq_schemas") if n.startswith("run_id=")]
-    last = max((n for n in earlier if n < run_id), default=run_id)
+    last = _last_run_before(spark, f"{root}/dq_schemas", run_id)
+    last = run_id if last is None else last
     for name in SCHEMA_WATCHED:
         snapshots = [schemas.filter((F.col("run_id") == n) & (F.col("table_name") == name)) for n in (last, run_id)]
         found.append(quality.failure_count(quality.dq_schema_change(*snapshots), "schema_change", name, "warn"))

@@ -428,7 +428,7 @@ def _schema_change(spark: SparkSession, sf: str) -> DataFrame:
 def _dq_report(spark: SparkSession, sf: str) -> DataFrame:
     """The checks of the typed silver tables and their gold, each table built once."""
     rows = files.materialize_all({n: b.silver_rows(spark, sf, n) for n in ("booking", "crm", "customer")}, "checked")
-    deals = gold.dashboard_opportunities(rows["crm"], b.AS_OF)
+    deals = files.materialize(gold.dashboard_opportunities(rows["crm"], b.AS_OF), "checked-deals")
     marts = {f"conversion_by_{by}": gold.conversion(deals, by) for by in ("agent", "product")}
     return checks.typed_and_gold_report(rows, {"dashboard_opportunities": deals, **marts})
 

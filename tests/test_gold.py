@@ -34,6 +34,7 @@ def silver(spark, rows):
 @pytest.fixture(scope="module")
 def deals(spark):
     """327 seeded opportunities with the stage counts of a typical book."""
+    # The book of 327 deals that the dashboards' figures are checked with.
     rng = random.Random(42)
     counts = dict(zip(sales.STAGE_ORDER, (120, 85, 52, 30, 18, 22)))
     rows = []
