@@ -6,6 +6,7 @@ slice every step is a handful of array operations, so no Python code runs per wo
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -99,6 +100,14 @@ class Words:
         return [raw[s:e].decode("utf-8", "replace") for s, e in zip(self.starts[index].tolist(), self.ends[index].tolist())]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are reused from stage to stage, and the allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each part have about ``limit`` bytes; a text is never cut."""
     for batch in batches:
@@ -108,6 +117,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch, size, part
+        give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
