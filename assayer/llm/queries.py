@@ -130,6 +130,30 @@ FROM d
 """
 
 
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+w AS (SELECT r, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS (
+  SELECT r, doc_id, i, array_to_string(list(word) OVER ahead, ' ') AS span, count(*) OVER ahead AS n FROM w
+  WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+f AS (SELECT md5(span) AS span, min(doc_id) AS first FROM g WHERE n = 50 GROUP BY 1),
+b AS (SELECT g.r, g.i FROM g JOIN f ON md5(g.span) = f.span WHERE g.n = 50 AND f.first < g.doc_id),
+c AS (
+  SELECT w.r, w.i, w.word, count(b.i) OVER (PARTITION BY w.r ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS covered
+  FROM w LEFT JOIN b ON w.r = b.r AND w.i = b.i
+),
+k AS (
+  SELECT r, count(*) FILTER (covered) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT covered) AS kept FROM c GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 # Five hexadecimal digits are four digits of base 32.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -170,4 +194,4 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_SQL, "op11_warc": WARC_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+    return {"op5_exact_dedup": EXACT_SQL, "op10_substring": REPEATS_SQL, "op11_warc": WARC_SQL, "op13_hard_negatives": NEGATIVES_SQL}
