@@ -8,10 +8,12 @@ of a document) / COMMON entries, however many documents there are; that table is
 Each text draws ``BANDS * ROWS`` samples; texts that agree on all samples of a band meet in its bucket. Equal texts are one node
 from the start. A node is compared with the smallest node of each of its buckets. Rounds follow until every bucket is resolved: in a
 bucket whose nodes links do not connect yet, the first nodes of its smallest classes lead, meet all nodes behind them, and leave;
-each round has ``GROWTH`` times as many leaders. A pair is skipped only if links connect it already, if it was compared before, or if
+each round has ``GROWTH`` times as many leaders. A pair is skipped only if links connect it already, if it was compared before, if
 its nodes' similarities to the bucket's smallest node differ by more than a similar pair's can (one minus the similarity is a
-metric). So a bucket of near copies costs a comparison a node, while one of n texts that are alike but not similar costs up to n squared
-over two; the rounds elect and pair ids, and only the comparisons move texts. A comparison computes the exact
+metric), or if what either node shares with any open node at all is too little for the weight of both (``reaches``); a node for which
+that holds with its whole bucket leaves it. So a bucket of near copies costs a comparison a node, and members of a family that are alike
+but not similar, each by edits of its own, leave without being paired; n texts whose differences recur in other texts can still cost up to
+n squared over two comparisons. The rounds elect and pair ids, and only the comparisons move texts. A comparison computes the exact
 weighted Jaccard similarity of both texts; pairs of at least ``SIMILARITY`` are links, classes are the connected components. Texts
 that share no bucket stay where they are: a Bloom filter of the others' nodes, of at most ``FILTER_BITS``, holds them back before
 the shuffle, and an exact join follows. Beyond some eight million such nodes more texts shuffle.
@@ -27,7 +29,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -40,7 +42,9 @@ BANDS, ROWS = 10, 3
 BUCKET_NODES = 20_000
 COMMON = 1e-3
 GROWTH = 8
+PARTS = 32
 SLACK = 1e-3  # far above the rounding of weights
+ROUNDING = 1e-6  # of a weight; far above that of sums
 FILTER_SLOTS, FILTER_BITS = 16, 1 << 27
 BITMAP_BITS = 8 * 4096  # bits of one bitmap of Spark's bitmap functions
 
@@ -195,6 +199,54 @@ def _number_texts(wanted: np.ndarray):
     return number
 
 
+def _shingles(weights: Weights):
+    """Part, key and weight of the shingles of texts by node."""
+
+    def shingles(batches):
+        for part in slices(batches):
+            text, key, weight = shingle_sets(Words(part.column("text"), lower=True), weights)
+            node = part.column("node").to_numpy(zero_copy_only=False)[text]
+            columns = [pa.array(x) for x in (node, (key % np.uint64(PARTS)).astype(np.int32), key.astype(np.int64), weight.astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "part", "key", "weight"])
+
+    return shingles
+
+
+def _part_weights(weights: Weights):
+    """Weight of the shingles of each part, of texts by node."""
+
+    def part_weights(batches):
+        for part in slices(batches):
+            text, key, weight = shingle_sets(Words(part.column("text"), lower=True), weights)
+            at = text * PARTS + (key % np.uint64(PARTS)).astype(np.int64)
+            sums = np.bincount(at, weight, part.num_rows * PARTS)
+            listed = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * PARTS, sums)
+            yield pa.RecordBatch.from_arrays([part.column("node"), listed], ["node", "weights"])
+
+    return part_weights
+
+
+def reaches(texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """(node, weight, shared, ceiling): what bounds a node's similarity to any other of ``texts``.
+
+    Shingles that no other text has cannot be shared; ``shared`` is the weight of the rest, in ``PARTS`` parts by key. Two texts share at
+    most the sum over the parts of the smaller weight, and similar texts share similarity / (1 + similarity) of both weights; so no
+    text that weighs more than the ceiling is similar to the node's. One grouping by shingle, combined before its shuffle.
+    """
+    held = texts.mapInArrow(_shingles(weights), "node bigint, part int, key bigint, weight double")
+    held = held.groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("node", "part", "weight")])
+    own = held.where("n = 1").groupBy("node", "part").agg(F.sum("weight").alias("own"))
+    own = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "own"))).alias("own"))
+    rows = texts.mapInArrow(_part_weights(weights), "node bigint, weights array<double>").join(own, "node", "left")
+    shared = F.transform("weights", lambda w, i: w - F.coalesce(F.col("own")[i], F.lit(0.0)))
+    rows = rows.select("node", _total("weights").alias("weight"), shared.alias("shared"))
+    return rows.withColumn("ceiling", (1 + 1 / similarity) * _total("shared") - (1 - ROUNDING) * F.col("weight"))
+
+
+def _total(parts) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+
+
 def _verify(weights: Weights, similarity: float):
     def verify(batches):
         for part in slices(batches):
@@ -259,35 +311,49 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
     def linked(rows: DataFrame) -> DataFrame:
         return rows.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
+    def unresolved(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold several classes."""
+        members = materialize(members, "members")
+        split = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+        return members.join(materialize(split, "split"), "key", "left_semi")
+
+    kept = ["key", "node", "similarity", "weight", "shared", "ceiling"]
     # First each node of a bucket with the smallest of all nodes there, often the same for many buckets.
     first = tested(pairs)
     found = linked(first)
     done = first.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
     # Then rounds over the nodes that have not led their bucket.
     members = one.join(busy, "key").join(first, ["node", "leader"]).select("key", "node", "similarity")
-    leaders = 1
+    leaders, bounds = 1, None
     while True:
         classes = materialize(components(found), "classes")
-        members = members.join(classes, "node", "left").select("key", "node", "similarity", F.coalesce("component", "node").alias("class"))
-        members = materialize(members, "members")
-        split = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-        members = members.join(materialize(split, "split"), "key", "left_semi")
+        members = unresolved(members.join(classes, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("class")))
+        if bounds is None:
+            bounds = materialize(reaches(texts.join(members.select("node").distinct(), "node", "left_semi"), weights, similarity), "reaches")
+            members = members.join(bounds, "node")
+        # Nodes that can be similar to none of their bucket leave it.
+        least = members.groupBy("key").agg(F.min("weight").alias("least"), F.max("ceiling").alias("most"))
+        members = members.join(materialize(least, "least"), "key").where("least <= ceiling and weight <= most").drop("least", "most")
+        members = unresolved(members)
         sizes = materialize(members.groupBy("key", "class").agg(F.count("*").alias("n")), "sizes")
         place = F.struct("n", "class", "node").alias("place")
-        members = materialize(members.join(sizes, ["key", "class"]).select("key", "node", "similarity", place), "open")
+        members = materialize(members.join(sizes, ["key", "class"]).select(*kept, place), "open")
         if members.isEmpty():
             break
         leaders *= GROWTH
         first_places = F.row_number().over(Window.partitionBy("key").orderBy("place"))
         ahead = members.withColumn("rank", first_places).where(F.col("rank") <= leaders).drop("rank")
-        ahead = materialize(ahead.toDF("key", "leader", "leader_similarity", "leader_place"), "leaders")
+        ahead = materialize(ahead.toDF("key", *(f"leader_{c}" for c in ahead.columns[1:])).withColumnRenamed("leader_node", "leader"), "leaders")
         met = members.join(ahead, "key").where("place > leader_place and place.class <> leader_place.class")
         met = met.where(F.abs(F.col("similarity") - F.col("leader_similarity")) <= 1 - similarity + SLACK)
+        most = _total(F.zip_with("shared", "leader_shared", lambda x, y: F.least(x, y)))
+        met = met.where("weight <= leader_ceiling and leader_weight <= ceiling")
+        met = met.where((1 + 1 / similarity) * most >= (1 - ROUNDING) * (F.col("weight") + F.col("leader_weight")))
         met = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
         new = tested(materialize(met.join(done, ["node", "leader"], "left_anti"), "pairs"))
         found = materialize(found.union(linked(new)), "found")
         done = done.union(new.select("node", "leader"))
-        members = members.join(ahead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select("key", "node", "similarity")
+        members = members.join(ahead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select(*kept)
     spark.sql(f"DROP TABLE {table}")
     return found
 
