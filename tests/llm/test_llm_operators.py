@@ -113,6 +113,54 @@ def test_near_groups_find_pairs_hidden_in_a_family(shipped):
     assert [found[i] for i in range(len(forms))] == wanted
 
 
+def test_near_groups_compare_few_pairs_of_a_hub_family(shipped, monkeypatch):
+    """Texts around one text, many too far from it to be similar: edits of their own, cut ends, and pairs hidden among the far ones."""
+    import pyarrow as pa
+
+    rng, n, fresh = np.random.default_rng(11), 700, iter(range(10**6))
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(words, edits):
+        words = list(words)
+        for i in rng.choice(len(words), edits, replace=False):
+            words[i] = f"own{next(fresh)}"
+        return words
+
+    forms = [changed(base, int(rng.integers(0, 7))) for _ in range(n)]
+    forms += [changed(base, 3)[: int(rng.integers(110, 150))] for _ in range(60)]
+    forms += [changed(forms[i], 1) for i in range(0, n, 14)]
+    docs = shipped.createDataFrame([(i, " ".join(w)) for i, w in enumerate(forms)], "doc_id bigint, text string")
+    text, key, weight = near_dedup.shingle_sets(
+        near_dedup.Words(pa.array([" ".join(w) for w in forms]), lower=True), near_dedup.word_weights(docs)
+    )
+    total = np.bincount(text, weight, len(forms))
+    _, column, times = np.unique(key, return_inverse=True, return_counts=True)
+    held = times[column] > 1  # the others are shared by no two texts
+    _, column = np.unique(key[held], return_inverse=True)
+    table = np.zeros((len(forms), column.max() + 1))
+    table[text[held], column] = weight[held]
+    label = np.arange(len(forms))
+    for i, own in enumerate(table):
+        both = np.minimum(table, own).sum(1)
+        alike = both / (total + total[i] - both) >= near_dedup.SIMILARITY
+        alike[i] = True
+        label[np.isin(label, label[alike])] = label[alike].min()
+    wanted = [int(np.flatnonzero(label == x).min()) for x in label]
+    compared, kept = [], near_dedup.materialize
+
+    def counted(rows, name):
+        rows = kept(rows, name)
+        if name == "tested":
+            compared.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    found = near_dedup.near_groups(docs).toPandas().set_index("doc_id").class_id
+    assert len(set(wanted)) > 100
+    assert [found[i] for i in range(len(forms))] == wanted
+    assert sum(compared[1:]) < 10 * len(forms), compared
+
+
 def test_token_counts_before_and_after_edits(documents, rows, bpe):
     count = lambda t: len(bpe.encode(t, add_special_tokens=False).ids)
     found = token_counts.count_tokens(example_edits(documents)).toPandas().set_index("doc_id")
