@@ -184,9 +184,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
-    """Fit on at most ``max_train`` labelled documents that are not held out; a row of conflicting labels counts as each."""
+    """Fit on at most ``max_train`` labelled documents of the table that are not held out.
+
+    A document of conflicting labels counts as each; of rows with one doc_id the one with the smallest features counts.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1))
-    known = known.select("doc_id", F.col("quality").alias("y")).distinct()
+    known = known.select("doc_id", F.col("quality").alias("y")).distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -198,34 +201,39 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
                 ["doc_id", "y", "x"],
             )
 
-    found = rows.mapInArrow(measure, "doc_id bigint, y int, x array<double>").toPandas()
+    found = rows.mapInArrow(measure, "doc_id bigint, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     found = found.sort_values(["doc_id", "y"])
     if not len(found):
         return fit(np.empty((0, len(NAMES))), np.empty(0))
     return fit(np.stack(found["x"].to_numpy()), found["y"].to_numpy(float))
 
 
-def quality_scores(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` with held_out, score and predicted for every document."""
-    rows = docs.select(*keep, (remainder(F.col("doc_id"), 3) == 1).alias("__held"), F.col("text").alias("__text"))
+def _scored(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` as c0, c1, ..., whatever their names, with held_out, score and predicted."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    kept = [place[c] for c in keep]
+    rows = rows.select(*kept, (remainder(F.col(place["doc_id"]), 3) == 1).alias("held_out"), F.col(place["text"]).alias("text"))
 
     def score(batches):
-        for part in slices(batches, "__text"):
-            s = model.score(features(part.column("__text")))
-            kept = [part.column(c) for c in keep]
+        for part in slices(batches, "text"):
+            s = model.score(features(part.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [*kept, part.column("__held"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
-                [*keep, "held_out", "score", "predicted"],
+                [*[part.column(c) for c in kept], part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
+                [*kept, "held_out", "score", "predicted"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(score, f"{schema}, held_out boolean, score double, predicted int")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name in kept)
+    return rows.mapInArrow(score, f"{schema}held_out boolean, score double, predicted int")
+
+
+def quality_scores(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` with held_out, score and predicted for every document; no row for an empty table."""
+    return _scored(docs, model, list(keep)).toDF(*keep, "held_out", "score", "predicted")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents the classifier accepts, all columns kept."""
-    clash = [c for c in docs.columns if c in ("held_out", "score", "predicted")]
-    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-    scored = quality_scores(safe, train(docs, labels), tuple(safe.columns))
-    kept = scored.where("predicted = 1").drop("held_out", "score", "predicted")
-    return kept.withColumnsRenamed({f"__own_{c}": c for c in clash})
+    """The documents the classifier accepts, all columns kept, whatever their names; an empty table stays empty."""
+    scored = _scored(docs, train(docs, labels), docs.columns)
+    return scored.where("predicted = 1").drop("held_out", "score", "predicted").toDF(*docs.columns)

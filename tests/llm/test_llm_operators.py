@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assayer.llm import exact_dedup, language, lm, mixing, near_dedup, neighbours, packing, quality, substring, token_counts
@@ -173,6 +174,21 @@ def test_token_counts_before_and_after_edits(documents, rows, bpe):
         assert own.n_encoded <= 60
 
 
+def test_quality_keeps_columns_of_any_name_and_learns_from_present_rows(documents, shipped, sf_dir):
+    labels = shipped.read.parquet(f"{sf_dir}/labels.parquet")
+    clash = documents.withColumns({c: F.lit("x") for c in ("held_out", "score", "predicted", "d", "e")})
+    clash = clash.toDF(*documents.columns, "held_out", "score", "predicted", "__held", "a.b")
+    kept = quality.drop_rejected(clash, labels)
+    assert kept.columns == clash.columns
+    wanted = quality.quality_scores(documents, quality.train(documents, labels)).where("predicted = 1").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in wanted)
+    # Labels of absent documents use up nothing of the sample, and repeated rows count once.
+    absent = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 10**9))
+    twice = quality.train(documents.union(documents), absent, max_train=40)
+    once = quality.train(documents, labels, max_train=40)
+    assert len(twice.value) == len(once.value) and (twice.value == once.value).all()
+
+
 def test_quality_on_held_out_labels(documents, shipped, sf_dir):
     labels = shipped.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
     docs = shipped.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
