@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a vantage-point tree for each shard of the vectors.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of the row, so equal vectors or ids do not meet in one shard. Each shard
-builds its tree once and searches all queries in blocks: at a node the queries are measured against the vantage point, go to the
+Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of the row, so equal vectors or ids do not meet in one shard, and queries to
+parts of about ``QUERY_ROWS`` by a hash of the id. A task holds one shard and one part, however many rows there are: it builds the shard's
+tree and searches the queries in blocks. At a node the queries are measured against the vantage point, go to the
 nearer half first, and to the other half only where the triangle inequality leaves room. ``factor`` scales that bound: 1 is
 an exact search, larger values prune more. The best of all shards are merged by query.
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 4096
 LEAF = 64
 BLOCK = 256
+QUERY_ROWS = 16_384
 EDGE = 1e-9  # rounding of distances in a bound
 
 
@@ -94,14 +96,19 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(
+    embeddings: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row whose id is divisible by ``every``."""
     rows = usable(embeddings)
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("dim", F.size("embedding"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
+    parts = max(1, -(-rows.where(F.col("vec_id") % every == 0).count() // query_rows))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def search(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -113,7 +120,7 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, factor: float
         keep = found >= 0
         return pa.table([np.repeat(ids, keep.sum(1)), found[keep], away[keep]], schema=schema)
 
-    by = ["shard", "dim"]
+    by = ["shard", "part", "dim"]
     found = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
