@@ -44,6 +44,23 @@ def test_language_model_base_score_is_exact(documents, rows):
         assert r.held_out == held(r.doc_id, 7, 2) and r.score < 0
 
 
+def test_base_score_of_a_word_in_every_slice(shipped, monkeypatch):
+    """One word is a third of all words; texts without words, of one word only, and of words that training lacks stand in many slices."""
+    texts = ["The rare%d the x%d  THE tail" % (i, i % 7) for i in range(60)] + [None, "", " \n", "the", "the " * 5000, "RARE3 unseen"]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    cut = lm.slices
+    monkeypatch.setattr(lm, "slices", lambda batches, limit=200: cut(batches, limit=min(limit, 200)))
+    words = {i: [*(t or "").lower().split(), 0] for i, t in enumerate(texts)}
+    count = Counter(w for i, own in words.items() if not held(i, 7, 2) for w in own)
+    n, v = sum(count.values()), len(count)
+    found = lm.score_documents(docs).toPandas()
+    assert sorted(found.doc_id) == sorted(words)
+    for r in found.itertuples():
+        own = words[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(1)
     classes, within = lm._class_tables(rng.integers(0, 50, lm.PAD).astype(float), rng.random(lm.PAD) < 0.5)
@@ -270,10 +287,10 @@ def test_raking_gives_every_source_its_own_share(shipped, local_cells):
     assert (have / have.sum()).to_dict() == pytest.approx((tokens / tokens.sum()).to_dict(), rel=1e-6)
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 100])
-def test_neighbours_agree_with_brute_force(shipped, sf_dir, shard_rows):
+@pytest.mark.parametrize("shard_rows, query_rows", [(4096, 16_384), (100, 16_384), (300, 2)])
+def test_neighbours_agree_with_brute_force(shipped, sf_dir, shard_rows, query_rows):
     table = shipped.read.parquet(f"{sf_dir}/embeddings.parquet")
-    found = neighbours.nearest(table, shard_rows=shard_rows).toPandas().sort_values(["query_id", "rank"])
+    found = neighbours.nearest(table, shard_rows=shard_rows, query_rows=query_rows).toPandas().sort_values(["query_id", "rank"])
     p = table.toPandas()
     x, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
     assert set(found.query_id) == {i for i in ids if i % 100 == 0}
