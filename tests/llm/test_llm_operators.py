@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -356,6 +357,56 @@ def test_odd_rows_near(odd_docs):
     assert once.columns == odd_docs.columns and once.count() == found.kept.sum()
 
 
+def test_stored_trees_follow_edits(documents, shipped, bpe):
+    """Three rounds of edits to stored leaves agree with texts edited and encoded anew; leaves that no edit touches are never written again."""
+    texts = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+    trees = token_counts.store_trees(documents)
+    random = np.random.default_rng(3)
+    inserts = ["", " ", "x", "new words here", "é\n日本 ", " ".join(f"grown{i}" for i in range(150)), None]
+    for _ in range(3):
+        rows = []
+        for doc in list(texts)[::3]:
+            for seq in range(4):
+                n = len(texts[doc])
+                start, stop = (int(x) for x in random.integers(-5, n + 20, 2))
+                stop = min(stop, start + 400) if seq else stop
+                insert = inserts[random.integers(len(inserts))]
+                rows.append((doc, seq, start, stop, insert))
+                a = min(max(start, 0), n)
+                texts[doc] = texts[doc][:a] + (insert or "") + texts[doc][min(max(stop, a), n) :]
+        rows += [(None, 0, 0, 5, "lost"), (-77, 0, 0, 5, "unknown")]
+        edits = shipped.createDataFrame(rows, "doc_id bigint, seq int, start bigint, stop bigint, insert string")
+        before, trees = trees, token_counts.edit_trees(trees, edits)
+        untouched = before.join(edits.select("doc_id"), "doc_id", "left_anti")
+        assert untouched.exceptAll(trees.select(untouched.columns)).count() == 0
+        found = token_counts.tree_counts(trees).toPandas().set_index("doc_id")
+        assert len(found) == len(texts)
+        for doc, text in texts.items():
+            words = re.findall("[^\x20\x09-\x0D]+", text)
+            tokens = sum(len(e.ids) for e in bpe.encode_batch(words, add_special_tokens=False))
+            assert tuple(found.loc[doc]) == (len(text), len(words), tokens)
+    leaves = defaultdict(list)
+    for r in trees.orderBy("tree", "leaf").collect():
+        leaves[r.doc_id].append(r.text)
+    assert {doc: "".join(own) for doc, own in leaves.items()} == texts
+    assert trees.agg({"n_words": "max"}).first()[0] <= 2 * token_counts.LEAF_WORDS
+
+
+def test_stored_trees_of_odd_rows(odd_docs, no_docs, shipped):
+    edits = shipped.createDataFrame([(8, 0, None, None, "a "), (4, 0, 9, 3, "text"), (7, 0, 0, 10**9, ""), (None, 0, 0, 1, "")], "doc_id bigint, seq int, start bigint, stop bigint, insert string")
+    trees = token_counts.store_trees(odd_docs)
+    same = token_counts.edit_trees(trees, edits.limit(0))
+    assert same.exceptAll(trees).count() == 0 and same.count() == trees.count()
+    found = [tuple(r) for r in token_counts.tree_counts(token_counts.edit_trees(trees, edits)).collect()]
+    assert len(found) == odd_docs.count()
+    words = defaultdict(list)
+    for doc, chars, n, _ in found:
+        words[doc].append((chars, n))
+    assert words[8] == [(12, 3), (12, 3)] and words[4] == [(4, 1)] and words[7] == [(0, 0)] and words[None][0][1] == 120
+    empty = token_counts.store_trees(no_docs)
+    assert token_counts.tree_counts(token_counts.edit_trees(empty, edits)).count() == 0
+
+
 def test_odd_rows_elsewhere(odd_docs, shipped):
     n = odd_docs.count()
     labels = shipped.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id bigint, quality int, toxic int")
