@@ -290,7 +290,7 @@ def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None)
 
     read = trees.join(touched, ["tree", "leaf"], "left_semi")
     new = read.groupBy("tree").cogroup(shapes.groupBy("tree")).applyInArrow(apply, schema)
-    return materialize(trees.select(schema.names).join(touched, ["tree", "leaf"], "left_anti").unionByName(new), "trees")
+    return materialize(trees.join(touched, ["tree", "leaf"], "left_anti").select(schema.names).union(new), "trees")
 
 
 def tree_counts(trees: DataFrame) -> DataFrame:
