@@ -217,3 +217,19 @@ def test_monitors_flag_a_run_against_the_runs_before(spark, tmp_path):
     assert flagged(3) == set() and flagged(0) == set()
     assert flagged(4) == {("volume_anomaly", n) for n in medallion.VOLUME_WATCHED} | {
         ("schema_change", n) for n in medallion.SCHEMA_WATCHED}
+
+
+def test_fanout_writes_a_large_batch_as_it_comes(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 5).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'fraud' WHEN id % 3 = 1 THEN 'loyalty' ELSE 'other' END AS topic",
+        """concat('{"event_id":"', id, '"}') AS value""",
+    )
+    assert ingest.fills_files(rows, 20, 30) and not ingest.fills_files(rows, 20, 31)
+    before = spark.conf.get(ingest.OPEN_FILES)
+    ingest.fanout_batch(rows, 0, str(tmp_path), DOMAINS.values(), None, file_messages=1)
+    assert len(list(tmp_path.rglob("*.parquet"))) == 15  # three tables of five tasks: no shuffle
+    assert spark.conf.get(ingest.OPEN_FILES) == before
+    for name, k in (("fraud", 0), ("loyalty", 1)):
+        ids = [int(r.event_id) for r in ingest.read_fanout(spark, str(tmp_path), DOMAINS[name]).collect()]
+        assert sorted(ids) == list(range(k, 3000, 3))
+    assert ingest.read_quarantine(spark, str(tmp_path)).count() == 1000
