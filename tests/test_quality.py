@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.catalogue import DOMAINS
 from assayer.operators import quality as q
 from assayer.operators import volumes
+from assayer.plans import checks, registry
 
 
 def test_not_null_and_expression_split_the_work(spark):
@@ -186,3 +187,36 @@ def test_full_report_has_every_declared_check(spark, sf_dir):
     assert {f"staging.{n}" for n in DOMAINS} | {f"silver.{n}" for n in DOMAINS} <= tables
     assert {"gold.dashboard_opportunities", "gold.conversion_by_agent", "gold.conversion_by_product"} <= tables
     assert sum(r.table_name.startswith("staging.") for r in lines) == 2 * len(DOMAINS)
+
+
+def test_opaque_report_counts_copies_and_failed_rules_of_any_key(spark):
+    md5 = "0123456789abcdef0123456789abcdef"
+    good = '{"ingested_at":"2024-01-01","staged_at":"2024-01-02"}'
+    rows = [
+        (md5, "2024-01-02", "2024-01-01", good), (md5, "2024-01-02", "2024-01-03", "[1"), (md5.upper(), "2024-01-02", "2024-01-01", good),
+        (bytes.fromhex("41" * 16).decode(), None, "2024-01-01", None), ("41" * 16, "2024-01-02", None, good),
+        (None, "2024-01-02", "2024-01-01", good), (None, "2024-01-01", "2024-01-02", "{}"),
+    ]
+    events = spark.createDataFrame(rows, "sk string, s string, i string, event_payload string").selectExpr(
+        "sk", "CAST(s AS TIMESTAMP) AS staged_at", "CAST(i AS TIMESTAMP) AS ingested_at", "event_payload"
+    )
+    tables = {n: events.withColumnRenamed("sk", f"{n}_event_sk") for n in ("fraud", "support")} | {"seat": events.limit(0).withColumnRenamed("sk", "seat_event_sk")}
+    found = {(r.table_name, r.check_name): r.failures for r in checks.opaque_report(tables).collect()}
+    expected = {"not_null:event_sk": 2, "not_null:staged_at": 1, "not_null:ingested_at": 1, "not_null:event_payload": 1,
+                "timestamp_order": 2, "payload_json": 2, "payload_metadata": 0, "unique:event_sk": 1}
+    assert {n: found["silver.fraud", n] for n in expected} == expected
+    assert {n: found["silver.support", n] for n in expected} == expected | {"payload_metadata": 3}
+    assert len(found) == 24 and not any(found["silver.seat", n] for n in expected)
+
+
+def test_reports_store_no_opaque_rows(spark, sf_dir, monkeypatch):
+    stored, keep = [], registry.files.materialize
+    monkeypatch.setattr(registry.files, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    for name in ("dq_opaque_report", "dq_full_report"):
+        registry.queries()[name](spark, sf_dir)
+    assert sorted(stored) == ["full-booking", "full-crm", "full-customer", "full-deals"]
+
+
+def test_tables_are_stored_with_entropy_coding(spark):
+    rows = registry.files.materialize(registry.apply_semantics(spark).range(10).selectExpr("md5(CAST(id AS STRING)) AS h"), "coded")
+    assert rows.count() == 10 and all(".zstd." in f for f in rows.inputFiles())
