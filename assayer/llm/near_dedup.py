@@ -267,22 +267,42 @@ def _verify(weights: Weights, similarity: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node number reached over the edges (a, b); nodes without edges are left out."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    """(node, component): the smallest node number reached over the edges (a, b); nodes without edges are left out.
+
+    Each step moves every node to the least neighbour of its least neighbour; only the edges between the nodes that are then left go on,
+    so an edge is joined again only as long as its component is not one node yet.
+    """
+    labels = None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = labels.join(seen, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        closer = materialize(closer, "closer")
-        root = closer.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = closer.join(root, "component").select("node", F.col("root").alias("component"), "old")
-        labels = materialize(jumped, "labels")
-        if labels.where("component <> old").isEmpty():
-            return labels.select("node", "component")
-
-
-def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs of nodes (a, b), enough to connect each bucket's similar texts."""
+        down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = materialize(down.distinct(), "edges")
+        if labels is not None and edges.isEmpty():
+            return labels
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+        step = near.join(near.toDF("component", "root"), "component").select("node", F.col("root").alias("component"))
+        step = materialize(step, "steps")
+        labels = step if labels is None else materialize(moved(labels, step), "labels")
+        edges = edges.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+
+
+def moved(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """The labels after their components went where ``step`` has them go."""
+    joined = labels.join(step.toDF("component", "next"), "component", "left")
+    return joined.select("node", F.coalesce("next", "component").alias("component"))
+
+
+def merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes (node, component) after more edges (a, b), which are followed between whole classes; no older edge is needed."""
+    for end in ("a", "b"):
+        ends = edges.join(classes.toDF(end, "class"), end, "left")
+        edges = ends.withColumn(end, F.coalesce("class", end)).drop("class")
+    step = components(edges)
+    return materialize(moved(classes, step).union(step.join(classes, "node", "left_anti")), "classes")
+
+
+def linked_classes(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes that verified pairs link, enough of them to connect each bucket's similar texts."""
     spark = docs.sparkSession
     nodes = nodes.where("not empty").select("node", "bands")
     one = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
@@ -320,13 +340,12 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
     kept = ["key", "node", "similarity", "weight", "shared", "ceiling"]
     # First each node of a bucket with the smallest of all nodes there, often the same for many buckets.
     first = tested(pairs)
-    found = linked(first)
+    classes = components(linked(first))
     done = first.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
     # Then rounds over the nodes that have not led their bucket.
     members = one.join(busy, "key").join(first, ["node", "leader"]).select("key", "node", "similarity")
     leaders, bounds = 1, None
     while True:
-        classes = materialize(components(found), "classes")
         members = unresolved(members.join(classes, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("class")))
         if bounds is None:
             bounds = materialize(reaches(texts.join(members.select("node").distinct(), "node", "left_semi"), weights, similarity), "reaches")
@@ -351,11 +370,11 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, similarity: float
         met = met.where((1 + 1 / similarity) * most >= (1 - ROUNDING) * (F.col("weight") + F.col("leader_weight")))
         met = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
         new = tested(materialize(met.join(done, ["node", "leader"], "left_anti"), "pairs"))
-        found = materialize(found.union(linked(new)), "found")
+        classes = merged(classes, linked(new))
         done = done.union(new.select("node", "leader"))
         members = members.join(ahead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select(*kept)
     spark.sql(f"DROP TABLE {table}")
-    return found
+    return classes
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -365,8 +384,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     drawn = docs.select("doc_id", "text").mapInArrow(_draw(weights), f"doc_id {kind}, node bigint, bands array<bigint>, empty boolean")
     drawn = materialize(drawn, "drawn")
     nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("empty").alias("empty"))
-    pairs = links(docs, materialize(nodes, "nodes"), weights, similarity)
-    return drawn.select("doc_id", "node"), components(pairs)
+    return drawn.select("doc_id", "node"), linked_classes(docs, materialize(nodes, "nodes"), weights, similarity)
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

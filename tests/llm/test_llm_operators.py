@@ -180,6 +180,64 @@ def test_near_groups_compare_few_pairs_of_a_hub_family(shipped, monkeypatch):
     assert sum(compared[1:]) < 10 * len(forms), compared
 
 
+def smallest_reached(edges):
+    label = {x: x for e in edges for x in e}
+    while True:
+        low = [min(label[a], label[b]) for a, b in edges]
+        if all(label[a] == label[b] for a, b in edges):
+            return label
+        for (a, b), x in zip(edges, low):
+            label[a], label[b] = min(label[a], x), min(label[b], x)
+
+
+def test_components_and_later_edges(spark):
+    rng = np.random.default_rng(3)
+    path = [int(x) for x in rng.permutation(200)]
+    edges = list(zip(path, path[1:])) + [(1000, int(x)) for x in rng.integers(1001, 1100, 150)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (120, 2)) if a != b]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = near_dedup.components(frame(edges + edges[:50]))
+    assert {r.node: r.component for r in found.collect()} == smallest_reached(edges)
+    for cut in (0, 150, len(edges)):
+        later = near_dedup.merged(near_dedup.components(frame(edges[:cut])), frame(edges[cut:]))
+        rows = later.collect()
+        assert len({r.node for r in rows}) == len(rows)
+        assert {r.node: r.component for r in rows} == smallest_reached(edges)
+
+
+def test_each_link_of_a_family_is_followed_once(shipped, monkeypatch):
+    """Links of earlier rounds are not joined again by the later ones: rounds grow with a family, its links with the family times the rounds."""
+    rng, fresh = np.random.default_rng(2), iter(range(10**6))
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(words, edits):
+        words = list(words)
+        for i in rng.choice(len(words), edits, replace=False):
+            words[i] = f"own{next(fresh)}"
+        return words
+
+    forms = [changed(base, int(rng.integers(0, 7))) for _ in range(200)]
+    forms += [changed(forms[i], 1) for i in range(0, 200, 4)]
+    docs = shipped.createDataFrame([(i, " ".join(w)) for i, w in enumerate(forms)], "doc_id bigint, text string")
+    given, linked, whole, kept = [], [], near_dedup.components, near_dedup.materialize
+
+    def followed(edges):
+        given.append(edges.count())
+        return whole(edges)
+
+    def counted(rows, name):
+        rows = kept(rows, name)
+        if name == "tested":
+            linked.append(rows.where("linked").count())
+        return rows
+
+    monkeypatch.setattr(near_dedup, "components", followed)
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    near_dedup.near_groups(docs).collect()
+    assert len(linked) > 1 and sum(given) == sum(linked)
+
+
 def test_token_counts_before_and_after_edits(documents, rows, bpe):
     count = lambda t: len(bpe.encode(t, add_special_tokens=False).ids)
     found = token_counts.count_tokens(example_edits(documents)).toPandas().set_index("doc_id")
