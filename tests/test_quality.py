@@ -53,6 +53,41 @@ def test_payload_checks(spark):
     assert {r.event_payload for r in q.dq_payload_metadata(df).collect()} == set(rows) - {good}
 
 
+def test_plain_payloads_are_cleared_without_parsing(spark, monkeypatch):
+    """The pattern clears only what the parser accepts, and the payloads of staged rows."""
+    good = ['{"a":1}', '{"a": "x", "b": -1.5e+10, "c":null,"é":true}', '{"":""}', '{"a":0.10}', '{"t":"NaN","u":"日本 \x7f"}']
+    bad = ['{"a":01}', '{"a":1.}', '{"a":.5}', '{"a":+1}', '{"a":NaN}', '{"a":nul}', '{"a":1,}', '{,"a":1}', '{"a":1}}', '{"a":1}]', '{"a":1} x', '{"a" 1}',
+           "{'a':1}", '{a:1}', '{"a":"b\nc"}', '{"a":"b\tc"}', '{"a":"b"c"}', '{"a":"b\\"}', '{"a":1e}', '{"a":--1}', '{"a":1}\n{', '{"a":"\x00"}', '{"a":1"b":2}']
+    slow = ['{}', '{"a":[1]}', '{"a":{"b":2}}', '{"a":"\\u0041 \\n"}', ' {"a":1}', '{"a":1}\n', '{"a" :1}', "[1]", "1", '"x"', "null", "{" + ",".join(f'"f{i}":{i}' for i in range(70)) + "}",
+            '{"a":"' + "x" * 40_000 + '"}', '{"a":1' + "0" * 300 + "}"]
+    rng = random.Random(4)
+    changed = []
+    for text in good * 40:
+        at = rng.randrange(len(text))
+        changed.append(text[:at] + rng.choice('{}[]",:0 1e-\\x\n') + text[at + rng.randrange(2):])
+    texts = [*good, *bad, *slow, *changed, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    ask = lambda: [r[0] for r in df.select("i", q.not_json(F.col("p")).alias("r")).orderBy("i").select("r").collect()]
+    found = ask()
+    assert found[: len(good) + len(bad)] == [False] * len(good) + [True] * len(bad)
+    assert found[len(good) + len(bad) :][: len(slow)] == [False] * len(slow)
+    flat = [r[0] for r in df.select("i", F.col("p").rlike(q.FLAT_OBJECT).alias("r")).orderBy("i").select("r").collect()]
+    assert flat[: len(good)] == [True] * len(good) and not any(flat[len(good) :][: len(bad)])
+    monkeypatch.setattr(q, "FLAT_OBJECT", r"\A\z")
+    assert ask()[:-1] == found[:-1] and found[-1] and found[-2]
+
+
+def test_rows_are_judged_before_copies_are_dropped(spark):
+    schema = "event_id string, n double, ingested_at timestamp"
+    t = dt.datetime(2024, 1, 1)
+    staged = registry.stage_events(spark.createDataFrame([("a", 1.0, t), ("a", 1.0, t), (None, None, None), ('q"\\\n', 2.0, t)], schema), "2024-01-31")
+    failing = q.staged_not_json(staged)
+    assert failing.columns == staged.columns and failing.count() == 0
+    assert registry.sv.distinct_events(staged).count() == 3
+    plan = registry.sv.distinct_events(failing)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Generate")
+
+
 def mart(spark, rows):
     return spark.createDataFrame(rows, "agent string, total_opportunities long, won_opportunities long, lost_opportunities long, win_rate_pct double")
 
