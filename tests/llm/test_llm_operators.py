@@ -82,6 +82,94 @@ def test_language_model_learns_from_every_window(documents, monkeypatch):
     assert model.descend(lm._windows([batch], path, pattern)) == sum(used) == len(lm.blocks_of(ids, tokens).inputs)
 
 
+def _lm_model(rng, size=1.0):
+    """A model with random tables of 50 ids, small enough for plain loops; ``size`` stretches its weights."""
+    row = np.full(lm.PAD + 1, 50, np.int32)
+    row[:50] = np.arange(50)
+    weights = {k: (size * rng.normal(0, 0.3, s)).astype(np.float32) for k, s in lm.SHAPES.items()}
+    classes = np.zeros(lm.PAD + 1, np.int64)
+    classes[:50] = rng.integers(0, lm.CLASSES, 50)
+    near = rng.normal(-4, 1, (51, lm.CLASSES)).astype(np.float32)
+    embedding = rng.normal(0, 1, (51, lm.WIDTH)).astype(np.float32)
+    none = np.empty(0, np.int64)
+    begins = np.ones(lm.PAD + 1, bool)
+    return lm.Model(classes, np.zeros(lm.PAD + 1, np.float32), row, near, np.ones_like(near), none, none.astype(np.float32), embedding, begins, none, weights)
+
+
+def _lm_loss(model, ids, rows, targets):
+    """Mean log loss of the classes, written out in double precision, query by query."""
+    w = {k: x.astype(float) for k, x in model.weights.items()}
+    losses = []
+    for line, own, wanted in zip(ids, rows, targets):
+        x = model.embedding[own].astype(float)
+        for i in range(lm.BLOCK):
+            if wanted[i] == lm.PAD:
+                continue
+            at = lm.BLOCK + i
+            seen = [j for j in range(at + 1) if line[j] != lm.PAD]
+            s = np.array([(x[at] @ w["q"]) @ (x[j] @ w["k"]) + w["far"][at - j] for j in seen])
+            p = np.exp(s - s.max())
+            logits = model.near[own[at]] + (p / p.sum()) @ (x[seen] @ w["v"]) @ w["out"]
+            logits = np.clip(logits, -lm.BOUND, lm.BOUND)
+            losses.append(np.log(np.exp(logits).sum()) - logits[model.classes[wanted[i]]])
+    return np.mean(losses)
+
+
+@pytest.mark.parametrize("size", [1.0, 6.0])
+def test_language_model_attends_as_written_out(size):
+    """Gradients agree with differences of the plain loss; with large weights the logits leave the range of plain exponentials."""
+    rng = np.random.default_rng(3)
+    model = _lm_model(rng, size)
+    model.weights["out"] /= np.float32(size * size)  # keeps the classes off their bound
+    ids = rng.integers(0, 50, (6, 2 * lm.BLOCK))
+    targets = np.concatenate((ids[:, lm.BLOCK + 1 :], rng.integers(0, 50, (6, 1))), 1)
+    ids[0, : lm.BLOCK] = lm.PAD
+    ids[1, lm.BLOCK + 5 :], targets[1, 5:] = lm.PAD, lm.PAD
+    rows = model.rows(ids)
+    found = model.gradient(ids, rows, targets)
+    for name, shape in lm.SHAPES.items():
+        for _ in range(4):
+            place = tuple(int(rng.integers(n)) for n in shape)
+            kept, step, sides = model.weights[name].copy(), 1e-3, []
+            for sign in (1, -1):
+                model.weights[name] = kept.astype(float)
+                model.weights[name][place] += sign * step
+                sides.append(_lm_loss(model, ids, rows, targets))
+            model.weights[name] = kept
+            assert found[name][place] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=2e-2, abs=2e-4)
+
+
+def test_places_of_numbers():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    asked = np.concatenate((keys[::3], rng.integers(-(1 << 62), 1 << 62, 5000)))
+    hit, at = lm.Places(keys)(asked)
+    assert hit.tolist() == np.flatnonzero(np.isin(asked, keys)).tolist() and (keys[at] == asked[hit]).all()
+    assert all(len(x) == 0 for x in lm.Places(keys[:0])(asked))
+
+
+def test_common_words_are_not_joined(shipped, monkeypatch):
+    """Words that make up more than their share are looked up in tasks; the others are sent once for all slices that go together."""
+    texts = [" ".join([f"common{j}" for j in range(40)] * 3 + [f"rare{i % 9}"]) for i in range(120)]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(lm, "MIN_SHARE", 5e-3)
+    sent, kept = [], lm.materialize
+
+    def counted(rows, name):
+        out = kept(rows, name)
+        if name == "words":
+            sent.append(out.where("place >= 0").count())
+        return out
+
+    monkeypatch.setattr(lm, "materialize", counted)
+    words = {i: [*t.split(), 0] for i, t in enumerate(texts)}
+    count = Counter(w for i, own in words.items() if not held(i, 7, 2) for w in own)
+    n, v = sum(count.values()), len(count)
+    for r in lm.score_documents(docs).collect():
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words[r.doc_id]), rel=1e-9)
+    assert sent == [9]
+
+
 def test_near_groups_agree_with_all_pairs(documents, rows):
     shingles = {}
     for i, t in zip(rows.doc_id, rows.text):
