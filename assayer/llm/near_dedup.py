@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources.files import materialize
+from .ship import small_batches
 from .text import Words, mix, ragged, slices, span_hashes
 
 SHINGLE = 5
@@ -249,7 +250,7 @@ def _total(parts) -> Column:
 
 def _verify(weights: Weights, similarity: float):
     def verify(batches):
-        for part in slices(batches):
+        for part in slices(batches, "text", "other_text"):
             a, b = (shingle_sets(Words(part.column(c), lower=True), weights) for c in ("text", "other_text"))
             n = part.num_rows
             text, key, weight = (np.concatenate(x) for x in zip(a, b))
@@ -379,6 +380,7 @@ def linked_classes(docs: DataFrame, nodes: DataFrame, weights: Weights, similari
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every row, and (node, class) of all nodes that are linked to another."""
+    small_batches(docs.sparkSession)
     weights = word_weights(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     drawn = docs.select("doc_id", "text").mapInArrow(_draw(weights), f"doc_id {kind}, node bigint, bands array<bigint>, empty boolean")

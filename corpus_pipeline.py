@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import exact_dedup, mixing, near_dedup, packing, quality
-from assayer.llm.ship import ship
+from assayer.llm.ship import ship, small_batches
 from assayer.sources.files import materialize
 
 #: Share of the tokens that the mixture keeps.
@@ -17,7 +17,7 @@ MIX_BUDGET = 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.drop_rejected(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.drop_rejected(docs, small_batches(ship(spark)).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return packing.pack(docs)
 
 
