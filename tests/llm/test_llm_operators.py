@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from assayer.llm import exact_dedup, language, lm, mixing, near_dedup, neighbours, packing, quality, substring, token_counts
 from assayer.llm.queries import EXACT_SQL, example_edits
+from assayer.llm.text import Words, byte_bpe
 
 
 def held(doc_id, modulus, rest):
@@ -148,6 +149,60 @@ def test_places_of_numbers():
     assert all(len(x) == 0 for x in lm.Places(keys[:0])(asked))
 
 
+def test_new_words_are_encoded_as_one_text():
+    """The ids of all new words come as one array and equal those of each word alone; a word of unusual white space is no exception."""
+    import base64
+
+    import pyarrow as pa
+    import tiktoken
+
+    path, pattern = lm.tokenizer_path(lm.TOKENIZER), public_tokenizers.PATTERN
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["One two\tthree\n\nnaïve 日本語 x1y2z3 " + "ab" * 400, None, "", " \n", "a\u00a0b \u2003 \u3000c don't  end", "two one"]
+    for own in (texts[:1], texts):
+        words = Words(pa.array(own, pa.string()), lower=True)
+        each = [w.decode() for t in own for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()]
+        assert words.spelled(np.arange(len(words.starts))) == each
+        keys, first, inverse = words.distinct
+        assert keys.tolist() == sorted(set(words.hash.tolist())) and (keys[inverse] == words.hash).all()
+        assert first.tolist() == [words.hash.tolist().index(k) for k in keys.tolist()]
+        flat, length = byte_bpe(path, pattern).encode(each)
+        wanted = [plain.encode_ordinary(" " + w) for w in each]
+        assert flat.tolist() == [i for ids in wanted for i in ids] and length.tolist() == [len(ids) for ids in wanted]
+        ids, length = byte_bpe(path, pattern).ids(words)
+        assert ids.tolist() == flat.tolist() and length.tolist() == [len(ids) for ids in wanted]
+    assert Words(pa.array([None, ""], pa.string())).distinct[0].tolist() == []
+
+
+def test_rows_are_looked_up_in_parts(monkeypatch):
+    """States of words are found a part at a time, in parts that begin with a word, and are those of all ids at once."""
+    rng = np.random.default_rng(5)
+    model = _lm_model(rng)
+    model.begins[:50] = rng.random(50) < 0.4
+    lines = rng.integers(0, 50, (40, 2 * lm.BLOCK))
+    lines[7:12] = np.flatnonzero(~model.begins)[0]  # a word longer than several parts
+    on, states = lm.words_so_far(lines.ravel(), model.begins)
+    model.states = np.unique(states)[::3]
+    model.near = np.concatenate((model.near, np.zeros((len(model.states), lm.CLASSES), np.float32)))
+    model.rest = np.ones_like(model.near)
+    wanted = model.row[lines.ravel()]
+    for i, state in zip(on, states):
+        if state in model.states:
+            wanted[i] = 51 + model.states.tolist().index(state)
+    sizes, whole = [], lm.words_so_far
+    monkeypatch.setattr(lm, "words_so_far", lambda ids, begins: sizes.append(len(ids)) or whole(ids, begins))
+    monkeypatch.setattr(lm, "PART", 20)
+    assert model.rows(lines).ravel().tolist() == wanted.tolist()
+    assert len(sizes) > 20 and sum(sizes) == lines.size
+    ids = rng.integers(0, 50, 90)
+    monkeypatch.setattr(lm, "PART", 1000)
+    whole_sum = model.inside(model.rows(ids), ids)
+    monkeypatch.setattr(lm, "PART", 20)
+    assert model.inside(model.rows(ids), ids).tolist() == whole_sum.tolist() and len(model.inside(ids[:0], ids[:0])) == 0
+
+
 def test_common_words_are_not_joined(shipped, monkeypatch):
     """Words that make up more than their share are looked up in tasks; the others are sent once for all slices that go together."""
     texts = [" ".join([f"common{j}" for j in range(40)] * 3 + [f"rare{i % 9}"]) for i in range(120)]
