@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from assayer.catalogue import DOMAINS
 from assayer.operators import silver as sv
@@ -267,3 +268,27 @@ def test_opaque_silver_hashes_after_the_shuffle_without_sort(spark):
     plan = sv.silver(stage_events(rows, AT), DOMAINS["fraud"])._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Window" not in plan
     assert "md5" not in plan[plan.index("Exchange"):]
+
+
+def test_only_rows_that_may_have_copies_are_grouped(spark, monkeypatch):
+    t, nan = dt.datetime(2024, 1, 1), float("nan")
+    odd = [("a", 1.0, t), ("a", 1.0, t), ("a", -0.0, t), ("a", 0.0, t), ("b", -0.0, t), ("c", nan, t), ("c", nan, t), (None, None, None), (None, None, None)]
+    rows = odd + [(f"x{i % 700}", float(i % 7), t) for i in range(1500)]
+    bronze = lambda rows: conform(spark.createDataFrame(rows, "event_id string, risk_score double, ingested_at timestamp"), DOMAINS["fraud"].schema)
+    staged = stage_events(bronze(rows), AT).unionByName(stage_events(bronze(rows[:20]), "2024-03-01 00:00:00"))
+    found = lambda hash_first: sorted(map(repr, sv.distinct_events(staged, hash_first).collect()))
+    assert len(found(False)) == 705 and found(True) == found(False)
+    alone = sv._may_have_copies(bronze(odd), ["event_id", "risk_score"]).groupBy("event_id").agg(F.max("_maybe").alias("m"))
+    assert {r.event_id: r.m for r in alone.collect()} == {"a": True, "b": False, "c": True, None: True}
+    monkeypatch.setattr(sv, "FILTER_BITS", sv.BITMAP_BITS)  # full enough to take rows for copies that have none
+    assert found(True) == found(False)
+
+
+def test_size_decides_whether_copies_are_looked_for_by_hash(spark, tmp_path, monkeypatch):
+    conform(spark.createDataFrame([("e1",), ("e1",)], "event_id string"), DOMAINS["fraud"].schema).write.parquet(str(tmp_path / "t"))
+    stored = stage_events(spark.read.parquet(str(tmp_path / "t")), AT)
+    plan = lambda df: sv.distinct_events(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" not in plan(stored)
+    monkeypatch.setattr(sv, "HASH_FIRST_BYTES", 1)
+    assert "bitmap_construct_agg" in plan(stored)
+    assert "bitmap_construct_agg" not in plan(stage_events(spark.createDataFrame([("e1",)], "event_id string"), AT))  # of no known size
