@@ -38,15 +38,34 @@ def read_objects(df: DataFrame, schema: T.StructType, value: str = "value") -> D
     value does the array have two elements, the second one being the marker. Fields are read as text because a
     number sent as a JSON string must survive until it is cast.
     """
-    message = decode(F.col(value))
     fields = [T.StructField(f.name, T.StringType(), True) for f in schema]
-    shape = T.ArrayType(T.StructType([*fields, T.StructField(END, T.StringType(), True)]))
-    framed = F.concat(F.lit("["), message, F.lit(f',{{"{END}":1}}]'))
-    df = df.withColumn("_items", F.from_json(framed, shape, STRICT))
+    return _read_whole(df, T.StructType([*fields, T.StructField(END, T.StringType(), True)]), value)
+
+
+def _read_whole(df: DataFrame, kind: T.DataType, value: str) -> DataFrame:
+    """Add ``_raw``, the object as the given type (NULL when the message is not one JSON object)."""
+    framed = F.concat(F.lit("["), decode(F.col(value)), F.lit(f',{{"{END}":1}}]'))
+    df = df.withColumn("_items", F.from_json(framed, T.ArrayType(kind), STRICT))
     whole = (F.size("_items") == 2) & (F.get("_items", F.lit(1))[END] == "1")
     return df.withColumn("_raw", F.when(whole, F.get("_items", F.lit(0)))).drop("_items")
 
 
+def read_fields(df: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``_names`` and ``_texts``, the fields of the object as text, last ones first (both NULL when the message is not one JSON object).
+
+    As ``read_objects``, for messages that carry few of very many names: a parse into a struct costs each message a step for every
+    name that the struct has, one into a map a step for every field that the message has. ``field`` takes a field from them.
+    """
+    read = _read_whole(df, T.MapType(T.StringType(), T.StringType()), value)
+    # Of a name that comes twice the last field counts, as it does in a struct.
+    return read.withColumns({"_names": F.reverse(F.map_keys("_raw")), "_texts": F.reverse(F.map_values("_raw"))}).drop("_raw")
+
+
+def field(name: str) -> Column:
+    """The text of a field after ``read_fields``; NULL when the object lacks it."""
+    return F.get("_texts", (F.array_position("_names", name) - 1).cast("int"))
+
+
 def _read(df: DataFrame, schema: T.StructType, required: Iterable[str], value: str) -> DataFrame:
     """``read_objects`` and, where keys are required, ``_keys``."""
     if required:

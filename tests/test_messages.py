@@ -132,3 +132,16 @@ def test_export_keeps_null_fields(spark, tmp_path):
     files.export_json_records(df, str(tmp_path / "out"))
     lines = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert lines == {'{"k":"a","v":null}', '{"k":"b","v":1.5}'}
+
+
+def test_fields_of_a_map_are_those_of_a_struct(spark):
+    """Odd messages give the same fields either way, and a map costs no step for each name it lacks."""
+    texts = ['{"a":"1","b":2}', '{"a":1,"a":2}', '{"a":1,"a":null}', '{"a":null}', "{}", '{"a":{"x":[1, 2.50]},"z":[{"a":9}]}', '{"a":1.10,"b":1e400}', '{"a":NaN,"z":NaN}', '{"a":"\\u0041\\n"}',
+             ' {"a":true} ', '{"a":1} tail', '{"a":1},{"b":2}', '{"a":1}]', '{"a":1},{"~end":1}', '{"~end":1}', '{"a":1', "{'a':1}", '{a:1}', '{"A":1}', "[1]", "[]", '[{"a":1}]', "1", '"x"', '""', "null", "prose", "", None, '{"":1}', '{"a":"b\nc"}']
+    schema = schema_from_spec("a,b")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    one = messages.read_objects(df, schema).select("i", F.col("_raw").isNull().alias("none"), "_raw.a", "_raw.b")
+    two = messages.read_fields(df).select("i", F.col("_names").isNull().alias("none"), messages.field("a").alias("a"), messages.field("b").alias("b"))
+    rows = [sorted(map(tuple, x.collect())) for x in (one, two)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(texts)
+    assert rows[1][1] == (1, False, "2", None) and rows[1][2] == (2, False, None, None)

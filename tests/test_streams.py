@@ -233,3 +233,9 @@ def test_fanout_writes_a_large_batch_as_it_comes(spark, tmp_path):
         ids = [int(r.event_id) for r in ingest.read_fanout(spark, str(tmp_path), DOMAINS[name]).collect()]
         assert sorted(ids) == list(range(k, 3000, 3))
     assert ingest.read_quarantine(spark, str(tmp_path)).count() == 1000
+
+
+def test_fanout_does_not_parse_into_all_names_of_all_domains(spark):
+    rows = spark.createDataFrame([("fraud", "{}")], "topic string, value string")
+    plan = ingest.fanout_rows(rows, DOMAINS.values())._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapType(StringType" in plan and "StructField" not in plan
