@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from assayer.catalogue import DOMAINS
+from assayer.functions.hashing import row_json
 from assayer.operators import silver as sv
 from assayer.operators.staging import stage_events
 from assayer.sources.files import conform, folder_bytes
@@ -292,3 +293,17 @@ def test_size_decides_whether_copies_are_looked_for_by_hash(spark, tmp_path, mon
     monkeypatch.setattr(sv, "HASH_FIRST_BYTES", 1)
     assert "bitmap_construct_agg" in plan(stored)
     assert "bitmap_construct_agg" not in plan(stage_events(spark.createDataFrame([("e1",)], "event_id string"), AT))  # of no known size
+
+
+def test_payload_is_made_from_the_json_of_the_hash(spark):
+    t = dt.datetime(2024, 1, 1, 1, 2, 3, 4)
+    rows = [("e1", "é☃", 1.5, t), ('q"\\\n', None, float("nan"), None), (None, None, None, None)]
+    bronze = conform(spark.createDataFrame(rows, "event_id string, customer_id string, risk_score double, ingested_at timestamp"), DOMAINS["fraud"].schema)
+    staged = stage_events(bronze, AT).unionByName(stage_events(bronze, None).withColumn("row_hash", F.lit(None).cast("string")).withColumn("staged_at", F.lit(None).cast("timestamp")))
+    whole = staged.select(row_json(staged.columns).alias("p"))
+    found = sv.event_payload(staged, "fraud")
+    assert sorted(r.p for r in whole.collect()) == sorted(r.event_payload for r in found.collect())
+    turned = staged.select(*reversed(staged.columns))  # the payload keeps the order of the columns
+    assert sorted(r.event_payload for r in sv.with_payload(turned).collect()) == sorted(r.p for r in turned.select(row_json(turned.columns).alias("p")).collect())
+    plan = sv.event_payload(stage_events(bronze, AT), "fraud")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_payload" in plan and "StructField(row_hash,StringType,true),StructField(staged_at" not in plan
